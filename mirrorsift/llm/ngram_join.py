@@ -102,7 +102,10 @@ def _scan(shingle: int):
 
 def _sign(shingle: int, percent: int, depth: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Signature rows (token, class, group, need); sets met before in the task give none."""
+        """Signature rows (token, class, group, code); sets met before in the task give none.
+
+        code is 8 times the share of infrequent tokens in a thousand, plus the shared tokens that a link needs.
+        """
         often = frequent.value
         seen: set[int] = set()
         for batch in slices(batches):
@@ -122,23 +125,24 @@ def _sign(shingle: int, percent: int, depth: int, frequent):
                 out[0].append(_long(own))
                 # the group: the least remixed hash among frequent tokens (copies share these), else among all
                 base = s[is_often] if is_often.sum() * 2 >= len(s) else s
+                light = 1000 * int((~is_often).sum()) // len(s)
                 group = int(mix(base ^ np.uint64(0xA5A5A5A55A5A5A5A)).min().astype(np.int64))
-                for column, value in ((1, name), (2, group), (3, min(depth, overlap))):
+                for column, value in ((1, name), (2, group), (3, 8 * light + min(depth, overlap))):
                     out[column].append(np.full(len(own), value, np.int64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["token", "class", "grp", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["token", "class", "grp", "code"])
 
     return run
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with their text's token set in place of the text; a doc_id may have several texts."""
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("class"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["class", "n", "tokens"],
-            )
+            own = pa.array([_fingerprint(s) == name for s, name in zip(sets, batch.column("class").to_pylist(), strict=True)], pa.bool_())
+            tokens = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(own) for c in columns] + [tokens.filter(own)], names=[*columns, "tokens"])
 
     return run
 
@@ -221,55 +225,60 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 8
     frequent = spark.sparkContext.broadcast(tokens)
 
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    signed = docs.mapInArrow(_sign(shingle, percent, depth, frequent), "token long, class long, grp long, need long")
+    signed = docs.mapInArrow(_sign(shingle, percent, depth, frequent), "token long, class long, grp long, code long")
     # tokens of one class only can't be shared: a window over the one exchange by token drops them
     spread = signed.repartition(F.col("token")).selectExpr("*", "min(class) over (partition by token) as lo", "max(class) over (partition by token) as hi")
-    spread = keep(spread.where("lo <> hi").select("token", "class", "grp", "need").distinct())
-    matrix = spread.select("token", "grp").distinct()
-    bounds = (
-        spread.withColumnRenamed("grp", "own").join(matrix, "token").groupBy("class", "own", "grp").agg(F.count("*").alias("bound"), F.max("need").alias("need")).where("bound >= need")
-    )
-    # a group is opened for its own members and for documents whose bound reaches it
-    opened = keep(bounds.select("class", "own", "grp").distinct())
-    outside = opened.where("own <> grp").select("grp").distinct()
-    members = opened.select("class", F.col("own").alias("grp")).distinct()
-    sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
-    reached = sizes.join(outside.withColumn("asked", F.lit(1)), "grp", "left").where("size > 1 or asked = 1")
+    spread = keep(spread.where("lo <> hi").select("token", "class", F.col("grp").alias("own"), "code").distinct())
+    matrix = spread.groupBy("token", F.col("own").alias("grp")).agg(F.count("*").alias("holders"))
+    # in its own group a set's bound counts only tokens that another member holds as well
+    bounds = spread.join(matrix, "token").where("own <> grp or holders > 1").groupBy("class", "own", "grp").agg(F.count("*").alias("bound"), F.max("code").alias("code"))
+    bounds = keep(bounds.where("bound >= code % 8").select("class", "own", "grp", "code"))
+    # two sets of different groups reach each other's group: the smaller one is where they meet
     visits = (
-        members.withColumn("member", F.lit(True)).unionByName(opened.where("own <> grp").select("class", "grp").withColumn("member", F.lit(False)))
-        .join(reached.select("grp", "size"), "grp")
+        bounds.where("grp < own").select("class", "grp", "code").unionByName(bounds.where("grp >= own").select("class", F.col("own").alias("grp"), "code").distinct())
     )
-    visits = keep(visits)
-
-    wanted = visits.select("class").distinct().join(classes, "class").select("class", F.col("first").alias("doc_id"))
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("class", "text")
-    stored = keep(texts.mapInArrow(_sets(shingle), "class long, n long, tokens binary").dropDuplicates(["class"]))
-
-    # first the group's leader with all others: a large group of near copies is mostly settled by it
-    lead = visits.where("member").groupBy("grp").agg(F.min("class").alias("leader"))
-    with_lead = visits.join(lead, "grp").where("class <> leader")
-    heads = lead.join(stored.select(F.col("class").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lt")), "leader").select("grp", "ln", "lt")
-    first = with_lead.join(stored, "class").join(heads, "grp").where(F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent)
-    first = first.withColumn("inter", _shared("tokens", "lt")).where((F.col("n") + F.col("ln") - F.col("inter")) * percent <= F.col("inter") * 100)
-    led = keep(first.select("class", "grp", "leader").distinct())
-
-    # then the rest: a pair needs a look unless both are linked with the leader
-    marks = visits.join(led.select("class", "grp", F.lit(True).alias("linked")), ["class", "grp"], "left").join(lead, "grp")
-    marks = marks.withColumn("near", F.coalesce("linked", F.col("class") == F.col("leader")))
-    left = marks.groupBy("grp").agg(F.sum(F.when(~F.col("near"), 1).otherwise(0)).alias("rest"), F.count("*").alias("total")).where("rest > 0")
-    marks = marks.join(left, "grp").withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
-    marks = keep(marks.withColumn("block", F.pmod(F.xxhash64("class", "grp"), F.col("blocks")).cast("int")).select("class", "grp", "near", "blocks", "block"))
+    sizes = visits.groupBy("grp").agg(F.count("*").alias("size"), F.min(F.struct("code", "class"))["class"].alias("leader")).where("size > 1")
+    visits = keep(visits.join(sizes, "grp").select("class", "grp", "size", "leader"))
+
+    def with_tokens(rows: DataFrame) -> DataFrame:
+        """Rows with a class, each with the class's token set, read from the text of the class's first document."""
+        placed = rows.join(classes.select("class", F.col("first").alias("doc_id")), "class")
+        columns = [c for c in placed.columns if c != "doc_id"]
+        texts = docs.join(placed.hint("shuffle_hash"), "doc_id").select(*columns, "text")
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select(*columns).schema)
+        return texts.mapInArrow(_sets(shingle, columns), f"{kinds}, tokens binary")
+
+    # in a large group first the leader, the set with the least share of rare tokens, with all others:
+    # near copies of one text are mostly settled by it
+    large = visits.where(F.col("size") > block)
+    led = None
+    if not large.isEmpty():
+        found = keep(with_tokens(large.select("class", "grp", "leader")))
+        heads = found.where("class = leader").select("grp", F.col("tokens").alias("lt")).dropDuplicates(["grp"])
+        first = found.where("class <> leader").join(heads, "grp").withColumn("n", F.octet_length("tokens") / 8).withColumn("ln", F.octet_length("lt") / 8)
+        first = first.where(F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent)
+        first = first.withColumn("inter", _shared("tokens", "lt")).where((F.col("n") + F.col("ln") - F.col("inter")) * percent <= F.col("inter") * 100)
+        led = keep(first.select("class", "grp", "leader").distinct())
+        forget(found)
+
+    # then the rest, block by block: a pair needs a look unless both are linked with the leader
+    marks = visits.withColumn("near", F.lit(False))
+    if led is not None:
+        marks = visits.join(led.select("class", "grp", F.lit(True).alias("linked")), ["class", "grp"], "left")
+        marks = marks.withColumn("near", F.coalesce("linked", (F.col("class") == F.col("leader")) & (F.col("size") > block)))
+    marks = marks.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("class", "grp"), F.col("blocks")).cast("int"))
     dealt = marks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "class", "grp", "near", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    # a pair of blocks in which all sets are near has nothing to find
-    live = dealt.where(~F.col("near")).select("grp", "i", "j").distinct()
-    dealt = dealt.join(live, ["grp", "i", "j"]).join(stored.select("class", "tokens"), "class")
-    rest = dealt.groupBy("grp", "i", "j").applyInPandas(_compare(percent), "a long, b long")
+    if led is not None:  # a pair of blocks in which all sets are near has nothing to find
+        dealt = dealt.join(dealt.where(~F.col("near")).select("grp", "i", "j").distinct(), ["grp", "i", "j"])
+    rest = with_tokens(dealt).groupBy("grp", "i", "j").applyInPandas(_compare(percent), "a long, b long")
+    if led is not None:
+        rest = rest.unionByName(led.select(F.col("class").alias("a"), F.col("leader").alias("b")))
 
-    links = keep(led.select(F.col("class").alias("a"), F.col("leader").alias("b")).unionByName(rest).distinct())
+    links = keep(rest.distinct())
     roots = components(links)
     by_class = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     smallest = by_class.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -278,6 +287,6 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 8
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.lit(0)).alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
     out = keep(out)
-    for used in (scan, spread, opened, visits, stored, led, marks, links):
+    for used in (scan, spread, bounds, visits, links) if led is None else (scan, spread, bounds, visits, links, led):
         forget(used)
     return out
