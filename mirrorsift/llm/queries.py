@@ -9,12 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .embedding_dedup import embedding_links
 from .ngram_join import ngram_jaccard_components
+from .packing import pack_documents
+from .pii import find_personal_data
+from .quality_rules import quality_rules
+from .sharding import shard_documents
+from .toxicity import toxicity_scores
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=4096, end_id=1)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), shingle=5, percent=80)
 
@@ -22,6 +53,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
+        "op2_packing": op2_packing,
+        "op3_pii": op3_pii,
+        "op4_toxicity": op4_toxicity,
+        "op5_quality_rules": op5_quality_rules,
+        "op9_sharding": op9_sharding,
         "op10_ngram_join": op10_ngram_join,
     }
 
