@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .embedding_dedup import embedding_links
+from .licenses import scan_licenses
+from .line_dedup import line_report
+from .mixing import mix_report
 from .ngram_join import ngram_jaccard_components
 from .packing import pack_documents
 from .pii import find_personal_data
@@ -42,6 +45,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"), percent=80, min_words=5)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"), repetition_limit=2.0, block_tokens=1_000_000)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -57,6 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_source_mixing": op7_source_mixing,
+        "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,
         "op10_ngram_join": op10_ngram_join,
     }

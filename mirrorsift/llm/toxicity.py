@@ -352,3 +352,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs with a score below threshold, with all their columns and whole texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_on_labels(docs, labels, fit_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in slices(batches, most_bytes=1_500_000):
+            score = score_texts(batch.column("text").to_pylist(), model)
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
