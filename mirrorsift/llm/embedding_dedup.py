@@ -181,7 +181,7 @@ def _verify(cosine: float):
 def embedding_links(vectors: DataFrame, cosine: float = 0.95, target_recall: float = 0.995, codewords: int = 32, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding; others are ignored).
 
-    Null, empty or zero vectors and those with null or non-finite components have no links. Vectors of
+    Null, empty or zero vectors, those with null or non-finite components and those without id have no links. Vectors of
     different lengths never link. Equal vectors link; rows that repeat a vec_id count like others. An empty
     table gives no rows. component_id is the smallest vec_id that links reach; kept marks it.
     """
@@ -189,7 +189,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95, target_recall: flo
     x = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
     fine = (F.size("embedding") > 0) & ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("embedding", lambda e: e != 0)
-    rows = rows.select("vec_id", F.when(fine, F.col("embedding")).alias("embedding"))
+    rows = rows.select("vec_id", F.when(fine & F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"))
     # + 0.0 makes -0.0 and 0.0 equal before hashing
     flat = F.transform("embedding", lambda e: e + F.lit(0.0))
     rows = rows.select("vec_id", "embedding", F.xxhash64(flat).alias("h1"), F.xxhash64(F.lit("second"), flat).alias("h2"))
@@ -227,7 +227,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95, target_recall: flo
     )
     good = rows.where("embedding is not null").select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     bad = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = keep(good.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id")))
+    out = keep(good.unionByName(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
     for used in (distinct, placed, plan, found):
         forget(used)
     return out

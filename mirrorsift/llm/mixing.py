@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep
+from .common import forget, free_names, keep
 
 WORDS = r"[^ \t\n\x0B\f\r]+"
 #: Parts of a pass that are summed one by one: no task sees a whole source.
@@ -145,13 +145,14 @@ def mix_documents(docs: DataFrame, budget: int | None = None, target_entropy: fl
         return docs
     # how far the last pass of each source goes in its permutation
     ends = keep(_passes(rows, mixture, sources, seed).groupBy("skey", "epoch").agg(F.max("place").alias("end"), F.max("repeats").alias("repeats")))
-    last = ends.groupBy("skey").agg(F.max_by(F.struct("epoch", "end", "repeats"), "epoch").alias("_last"))
+    key, end, copy = free_names(docs, "_skey", "_last", "_copy")
+    last = ends.groupBy("skey").agg(F.max_by(F.struct("epoch", "end", "repeats"), "epoch").alias(end)).withColumnRenamed("skey", key)
     skey = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    tagged = docs.withColumn("_skey", skey).join(last.withColumnRenamed("skey", "_skey"), "_skey", "left")
-    epoch = F.coalesce(F.col("_last.epoch"), F.lit(0))
-    place = F.xxhash64(F.lit(seed), "_skey", epoch, F.col("doc_id").cast("long"), F.xxhash64("text"))
-    whole = epoch + 1 <= F.coalesce(F.col("_last.repeats"), F.lit(1.0)) + 1e-9
-    times = epoch + F.when(whole | (place <= F.col("_last.end")), 1).otherwise(0)
-    out = tagged.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), times.cast("int"))))
+    tagged = docs.withColumn(key, skey).join(last, key, "left")
+    epoch = F.coalesce(F.col(f"{end}.epoch"), F.lit(0))
+    place = F.xxhash64(F.lit(seed), key, epoch, F.col("doc_id").cast("long"), F.xxhash64("text"))
+    whole = epoch + 1 <= F.coalesce(F.col(f"{end}.repeats"), F.lit(1.0)) + 1e-9
+    times = epoch + F.when(whole | (place <= F.col(f"{end}.end")), 1).otherwise(0)
+    out = tagged.withColumn(copy, F.explode(F.array_repeat(F.lit(True), times.cast("int"))))
     forget(rows)
     return out.select(*docs.columns)

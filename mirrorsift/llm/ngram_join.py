@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import components, forget, keep, mix, shingle_sets, slices
 
@@ -201,7 +202,7 @@ def _compare(percent: int):
     return run
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
