@@ -90,7 +90,8 @@ def copy_features_to_twins(features: DataFrame, files: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- series
 
-_BY = Window.partitionBy("series").orderBy("ts_ms")
+def _by():
+    return Window.partitionBy("series").orderBy("ts_ms")
 
 
 def remaining() -> Column:
@@ -104,14 +105,14 @@ def _rate(now: Column, before: Column, t: Column, t0: Column) -> Column:
 
 def throughput(samples: DataFrame) -> DataFrame:
     """(series, ts_ms, rate) against the sample before, not below 0; the first sample has none."""
-    p = samples.select("series", "ts_ms", remaining().alias("r"), F.lag(remaining()).over(_BY).alias("r0"), F.lag("ts_ms").over(_BY).alias("t0")).where("t0 is not null")
+    p = samples.select("series", "ts_ms", remaining().alias("r"), F.lag(remaining()).over(_by()).alias("r0"), F.lag("ts_ms").over(_by()).alias("t0")).where("t0 is not null")
     return p.select("series", "ts_ms", _rate(F.col("r"), F.col("r0"), F.col("ts_ms"), F.col("t0")).alias("rate"))
 
 
 def drain_rate(samples: DataFrame, window: int = 8) -> DataFrame:
     """(series, ts_ms, rate) of bytes against the sample a window before, or the first one."""
-    w = _BY.rowsBetween(-window, 0)
-    p = samples.select("series", "ts_ms", "pending_bytes", F.first("pending_bytes").over(w).alias("b0"), F.first("ts_ms").over(w).alias("t0"), F.row_number().over(_BY).alias("k")).where("k > 1")
+    w = _by().rowsBetween(-window, 0)
+    p = samples.select("series", "ts_ms", "pending_bytes", F.first("pending_bytes").over(w).alias("b0"), F.first("ts_ms").over(w).alias("t0"), F.row_number().over(_by()).alias("k")).where("k > 1")
     return p.select("series", "ts_ms", _rate(F.col("pending_bytes"), F.col("b0"), F.col("ts_ms"), F.col("t0")).alias("rate"))
 
 
@@ -125,16 +126,16 @@ def eta(samples: DataFrame) -> DataFrame:
 
 def stalled(samples: DataFrame, lookback: int = 6) -> DataFrame:
     """(series, ts_ms, stalled): running, and the last samples all have as many bytes pending."""
-    w = _BY.rowsBetween(-lookback, 0)
+    w = _by().rowsBetween(-lookback, 0)
     same = (F.min("pending_bytes").over(w) == F.max("pending_bytes").over(w)) & (F.count("*").over(w) == lookback + 1) & (F.col("running") > 0)
     return samples.select("series", "ts_ms", same.alias("stalled"))
 
 
 def last_activity(samples: DataFrame) -> DataFrame:
     """(series, ts_ms, active_ms): when done last grew; the first sample counts as activity."""
-    grew = F.when(F.coalesce(F.col("done") > F.lag("done").over(_BY), F.lit(True)), F.col("ts_ms"))
+    grew = F.when(F.coalesce(F.col("done") > F.lag("done").over(_by()), F.lit(True)), F.col("ts_ms"))
     s = samples.select("series", "ts_ms", grew.alias("g"))
-    return s.select("series", "ts_ms", F.last("g", ignorenulls=True).over(_BY.rowsBetween(Window.unboundedPreceding, 0)).alias("active_ms"))
+    return s.select("series", "ts_ms", F.last("g", ignorenulls=True).over(_by().rowsBetween(Window.unboundedPreceding, 0)).alias("active_ms"))
 
 
 class EtaEstimator:
