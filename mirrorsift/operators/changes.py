@@ -148,7 +148,8 @@ class EtaEstimator:
         self.rate, self.t, self.pending, self.shown, self.held = state or (None, None, None, None, 0)
 
     def state(self) -> tuple:
-        return self.rate, self.t, self.pending, self.shown, self.held
+        real = lambda v: None if v is None else float(v)
+        return real(self.rate), real(self.t), real(self.pending), real(self.shown), self.held
 
     def push(self, ts_ms: int, pending_bytes: int, left: int, paused: bool = False) -> float | None:
         dt = 0.0 if self.t is None else max(0.0, (ts_ms - self.t) / 1000)

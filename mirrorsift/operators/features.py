@@ -92,7 +92,7 @@ def frame_features(frames: DataFrame, trim: bool = False) -> DataFrame:
     """One row of features for each frame; a frame that can't be read has an error and no features."""
 
     def one(pixels, w, h) -> tuple:
-        if w is None or h is None or w <= 0 or h <= 0 or pixels is None:
+        if pixels is None or pd.isna(w) or pd.isna(h) or w <= 0 or h <= 0:
             return None, None, None, None, None, None, "empty frame"
         try:
             frame = whole_frame(bytes(pixels), int(w), int(h))
