@@ -7,7 +7,7 @@ the order rule the threshold out are dropped (length and positional filters), th
 Jaccard similarity on whole sets. A line is removed if it equals an earlier line, or is similar to the first
 occurrence of another line that is earlier. Earlier: by document, then by line.
 
-Lines with equal words are one class, so copies are joined once. A class is first compared with the earliest class
+Lines with equal words are one class, so copies are joined once. A class is first compared with two classes
 of each token; only classes that this doesn't settle are compared with all others.
 """
 
@@ -16,33 +16,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep
+from .common import forget, free_names, keep
 
 GAPS = r"[ \t\n\x0B\f\r]+"
 SHINGLE = 5
 #: Classes that hold a token from which on it goes last in the order.
-FREQUENT_FROM = 40
-#: Rows of a side up to which it is sent to all executors (32 bytes each) rather than shuffled.
-BROADCAST_ROWS = 100_000
+FREQUENT_FROM = 128
+#: Classes of a token from which on its pairs are verified inside the join.
+CROWDED_FROM = 64
+#: Lines asked for up to which their numbers are sent to all executors (about 60 bytes each) rather than texts shuffled.
+BROADCAST_ROWS = 500_000
 
 _ALL = "sort_array(array_distinct(transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i+1], h[i+2], h[i+3], h[i+4]))))"
-_SMALL = 2**24 - 1
+_SMALL = 2**23 - 1
+_PLACES = 2**16 - 1
 
 
-def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, dh, line_no, h, more): the word hashes of each line."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("dh"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"), *more)
-    words = F.transform(F.array_remove(F.split("line", GAPS), ""), lambda w: F.xxhash64(w))
-    return lines.select("doc_id", "dh", "line_no", words.alias("h"), *more)
+def _words(line: Column) -> Column:
+    """Hashes of a line's words. Splitting at single blanks is much cheaper than by pattern; other gaps are rare."""
+    odd = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    parts = F.when(odd, F.split(line, GAPS)).otherwise(F.split(line, " "))
+    return F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(w))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, dh, line_no, h): the word hashes of each line."""
+    # what is selected beside explode() is computed for each of its rows: a text's hash comes before
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("dh"))
+    # the outer form: for the other one a filter on the array is inferred, which computes it a second time
+    lines = texts.select("doc_id", "dh", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line is not null")
+    return lines.select("doc_id", "dh", "line_no", _words(F.col("line")).alias("h"))
 
 
 def _prefix(percent: int) -> Column:
-    """The first tokens of a line in order, from its word hashes h (five at least) and firsts, the sorted distinct
-    ones that begin a shingle: as many lowest values of firsts as the prefix asks bring at least as many tokens."""
+    """The first tokens of a line with a lower bound of their place in the order, from its word hashes h (five at
+    least) and firsts, the sorted distinct ones that begin a shingle: as many lowest values of firsts as the prefix
+    asks bring at least as many tokens, and as many tokens lie before one as there are lower values."""
     last = f"element_at(firsts, least(size(firsts), (size(h) - 4) - cast(ceil((size(h) - 4) * {percent} / 100) as int) + 1))"
     places = f"transform(array({last}), last -> filter(sequence(0, size(h) - 5), i -> h[i] <= last))[0]"
-    tokens = f"sort_array(array_distinct(transform({places}, i -> struct(h[i] as first, xxhash64(h[i], h[i+1], h[i+2], h[i+3], h[i+4]) as token))))"
-    return F.expr(f"transform({tokens}, p -> p.token)")
+    return F.expr(f"transform({places}, i -> struct(xxhash64(h[i], h[i+1], h[i+2], h[i+3], h[i+4]) as token, cast(array_position(firsts, h[i]) as int) - 1 as place))")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
@@ -50,10 +62,10 @@ def _fetch(docs: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     asked = wanted.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("line_no", *more)).alias("asked"))
     side = F.broadcast(asked) if few else asked.hint("shuffle_hash")
-    found = docs.withColumn("dh", F.xxhash64("text")).join(side, ["doc_id", "dh"])
-    lines = found.select("doc_id", "dh", F.split("text", "\n").alias("lines"), F.explode("asked").alias("a"))
-    words = F.transform(F.array_remove(F.split(F.element_at("lines", F.col("a.line_no") + 1), GAPS), ""), lambda w: F.xxhash64(w))
-    return lines.select(words.alias("h"), *[F.col(f"a.{m}").alias(m) for m in more])
+    found = docs.withColumn("dh", F.xxhash64("text")).join(side, ["doc_id", "dh"]).select(F.split("text", "\n").alias("lines"), "asked")
+    each = F.transform("asked", lambda a: F.struct(F.element_at("lines", a["line_no"] + 1).alias("line"), *[a[m].alias(m) for m in more]))
+    lines = found.select(F.explode_outer(each).alias("a"))
+    return lines.select(_words(F.col("a.line")).alias("h"), *[F.col(f"a.{m}").alias(m) for m in more])
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = SHINGLE, frequent_from: int = FREQUENT_FROM) -> DataFrame:
@@ -77,11 +89,15 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = SHINGLE,
     first = keep(lines.where("cid is not null").groupBy("cid").agg(F.min(order).alias("at")))
 
     sides = ["token", "cid", "most", "fewest", "place"]
-    rows = lines.where("prefix is not null").select(F.posexplode("prefix").alias("place", "token"), "cid", "most", "fewest")
-    rows = rows.repartition(F.col("token")).selectExpr(*sides, "min(cid) over (partition by token) as lo", "max(cid) over (partition by token) as hi")
-    spread = keep(rows.where("lo <> hi").select(*sides).distinct())
-
-    spread = _frequent_last(docs, spread, first, percent, frequent_from)
+    # one number holds both lengths and the place, where a lower place only lets more pairs pass
+    packed = F.expr(f"shiftleft(cast(most as bigint), 40) + shiftleft(cast(least(fewest, {_SMALL}) as bigint), 16) + least(p.place, {_PLACES})")
+    rows = lines.where("prefix is not null").select(F.explode("prefix").alias("p"), "cid", "most", "fewest").select("p.token", "cid", packed.alias("pk"))
+    rows = rows.repartition(F.col("token")).selectExpr("*", "min(cid) over (partition by token) as lo", "max(cid) over (partition by token) as hi")
+    rows = rows.where("lo <> hi").select("token", "cid", "pk").distinct()
+    unpacked = [F.expr("cast(shiftright(pk, 40) as int) as most"), F.expr(f"cast(shiftright(pk, 16) & {2**24 - 1} as int) as fewest"), F.expr(f"cast(pk & {_PLACES} as int) as place")]
+    spread = keep(rows.select("token", "cid", *unpacked))
+
+    spread = _frequent_last(docs, lines, spread, first, percent, frequent_from)
     placed = keep(spread.join(first, "cid").select(*sides, "at"))
     spread_used = spread
 
@@ -101,11 +117,32 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = SHINGLE,
         both = both.withColumn("n", F.size("ta") + F.size("tb")).withColumn("inter", F.size(F.array_intersect("ta", "tb")))
         return keep(both.where((F.col("n") - F.col("inter")) * percent <= F.col("inter") * 100).select(F.col("a").alias("cid")).distinct())
 
-    earliest = placed.selectExpr("struct(*) as x", "min(struct(at, cid, most, fewest, place)) over (partition by token) as y")
-    pairs = keep(earliest.where("x.cid <> y.cid").where(near("x", "y")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+    # of each token's classes of about one length two stand for the others: the earliest one, and the one with the token
+    # first in its order, which among near copies of a line is the one without changes
+    like = "partition by token, floor(log(fewest) * 8)"
+    heads = placed.selectExpr("struct(*) as x", f"min(struct(at, cid, most, fewest, place)) over ({like}) as y", f"min(struct(place, at, cid, most, fewest)) over ({like}) as z")
+    pairs = None
+    for head in ("y", "z"):
+        own = heads.where((F.col("x.cid") != F.col(f"{head}.cid")) & (F.col(f"{head}.at") < F.col("x.at"))).where(near("x", head)).select(F.col("x.cid").alias("a"), F.col(f"{head}.cid").alias("b"))
+        pairs = own if pairs is None else pairs.unionByName(own)
+    pairs = keep(pairs.distinct())
     gone = verified(pairs)
-    open_ = placed.join(gone, "cid", "left_anti").alias("x")
-    more = open_.join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at"))).where(near("x", "y"))
+    # tokens that many classes still share: pairs are verified where they are joined, and never become rows
+    crowded = keep(placed.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= CROWDED_FROM).select("token"))
+    found = None
+    if not crowded.isEmpty():
+        many = keep(placed.join(crowded, "token", "left_semi"))
+        ends = many.select("cid").distinct().join(first, "cid")
+        sets = keep(_fetch(docs, ends.select("at.doc_id", "at.dh", "at.line_no", "cid"), "cid").select("cid", F.expr(_ALL).alias("tokens")))
+        left = many.join(gone, "cid", "left_anti").join(sets, "cid").alias("x")
+        inter = F.size(F.array_intersect("x.tokens", "y.tokens"))
+        alike = (F.size("x.tokens") + F.size("y.tokens") - inter) * percent <= inter * 100
+        on = (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at")) & near("x", "y") & alike
+        found = keep(left.join(many.join(sets, "cid").alias("y"), on, "left_semi").select("x.cid").distinct())
+        gone = keep(gone.unionByName(found))
+    few = placed.join(crowded, "token", "left_anti")
+    open_ = few.join(gone, "cid", "left_anti").alias("x")
+    more = open_.join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at"))).where(near("x", "y"))
     more = more.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = keep(more)
     also = verified(more)
@@ -123,28 +160,32 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = SHINGLE,
     return out
 
 
-def _frequent_last(docs: DataFrame, spread: DataFrame, first: DataFrame, percent: int, frequent_from: int) -> DataFrame:
-    """spread with frequent tokens behind all others in the order: lines that had some in their prefix get a longer one.
+def _frequent_last(docs: DataFrame, lines: DataFrame, spread: DataFrame, first: DataFrame, percent: int, frequent_from: int) -> DataFrame:
+    """spread with frequent tokens behind all others in the order: lines that have some in their prefix get another one.
 
-    Counts are of classes. All tokens of the lines concerned are counted, so that what moves up is known to be rare.
+    A token goes last if enough classes have it in their prefix, or if enough of the lines concerned have it anywhere
+    and it is in no other line's prefix: so the other lines' prefixes are the same in the new order.
     """
-    often = spread.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= frequent_from).select("token")
-    often = keep(often)
+    often = keep(spread.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= frequent_from).select("token"))
     if often.isEmpty():
         return spread
-    touched = spread.join(often, "token").select("cid").distinct().join(first, "cid").select("at.doc_id", "at.dh", "at.line_no", "cid")
+    touched = keep(spread.join(often, "token").select("cid").distinct())
     pairs = "transform(sequence(0, size(h) - 5), i -> struct(h[i] as first, xxhash64(h[i], h[i+1], h[i+2], h[i+3], h[i+4]) as token))"
-    whole = _fetch(docs, touched, "cid").select("cid", F.least(F.size("h") - 4, F.lit(_SMALL)).alias("most"), F.size(F.array_distinct(F.slice("h", 1, F.size("h") - 4))).alias("fewest"), F.expr(f"array_distinct({pairs})").alias("tokens"))
-    whole = keep(whole.select("cid", "most", "fewest", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).select("cid", "most", "fewest", "n", "t.first", "t.token"))
-    counts = whole.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= frequent_from).select("token", F.lit(1).alias("late"))
-    known = whole.join(counts, "token", "left").withColumn("late", F.coalesce("late", F.lit(0)))
-    again = known.selectExpr("*", "row_number() over (partition by cid order by late, first, token) - 1 as place")
-    again = again.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("token", "cid", "most", "fewest", F.col("place").cast("int").alias("place"))
-    # the other lines' prefixes hold no frequent token and stay; those of lines that moved are replaced
-    out = keep(spread.join(touched.select("cid"), "cid", "left_anti").select(*again.columns).unionByName(again).distinct())
-    forget(often)
-    forget(whole)
-    forget(spread)
+    whole = _fetch(docs, touched.join(first, "cid").select("at.doc_id", "at.dh", "at.line_no", "cid"), "cid").select(
+        "cid", F.size(F.expr(_ALL)).alias("n"), F.expr(pairs).alias("tokens")
+    )
+    whole = keep(whole.select("cid", "n", F.explode_outer("tokens").alias("t")).select("cid", "n", "t.first", "t.token"))
+    many = keep(whole.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= frequent_from).select("token").unionByName(often).distinct())
+    others = lines.where("prefix is not null").join(touched, "cid", "left_anti").select(F.explode(F.expr("transform(prefix, p -> p.token)")).alias("token"))
+    late = many.join(others.join(many, "token", "left_semi").distinct(), "token", "left_anti").withColumn("late", F.lit(1))
+    known = whole.join(late, "token", "left").withColumn("late", F.coalesce("late", F.lit(0)))
+    again = known.selectExpr("*", "dense_rank() over (partition by cid order by late, first, token) - 1 as place")
+    again = again.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    # the exact number of tokens bounds the length from both sides
+    again = again.select("token", "cid", F.least("n", F.lit(_SMALL)).alias("most"), F.least("n", F.lit(_SMALL)).alias("fewest"), F.col("place").cast("int").alias("place"))
+    out = keep(spread.join(touched, "cid", "left_anti").select(*again.columns).unionByName(again).distinct())
+    for used in (often, touched, whole, many, spread):
+        forget(used)
     return out
 
 
@@ -165,10 +206,11 @@ def line_report(docs: DataFrame, percent: int = 80, min_words: int = SHINGLE) ->
 
 def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = SHINGLE) -> DataFrame:
     """docs with the kept lines of each text; n_chars follows, where there is such a column. No row is dropped."""
-    found = removed_lines(docs, percent, min_words).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("dh").alias("_dh"), F.col("removed").alias("_removed"))
-    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_dh")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col("text")))
+    key, digest, gone = free_names(docs, "_id", "_dh", "_removed")
+    found = removed_lines(docs, percent, min_words).where(F.size("removed") > 0).select(F.col("doc_id").alias(key), F.col("dh").alias(digest), F.col("removed").alias(gone))
+    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(digest)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    out = joined.withColumn("text", F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
