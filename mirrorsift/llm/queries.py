@@ -62,7 +62,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_components(table(spark, sf_dir, "documents"), shingle=5, percent=80)
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"), shingle=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -80,5 +80,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+_OP1 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+w AS (SELECT * FROM v WHERE n > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.n),
+c AS (SELECT n, min(c) AS component_id FROM r GROUP BY n)
+SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN c ON c.n = e.vec_id"""
+
+_OP6 = f"""WITH l AS (SELECT doc_id, i - 1 AS line_no, regexp_extract_all(x[i], {_WORDS}) AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS c FROM l WHERE len(w) >= 5),
+f AS (SELECT c, any_value(w) AS w, min([doc_id, line_no]) AS at FROM k GROUP BY c),
+s AS (SELECT DISTINCT c, at, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT c, at, w, unnest(range(1, len(w) - 3)) AS i FROM f)),
+n AS (SELECT c, count(*) AS n FROM s GROUP BY c),
+q AS (SELECT a.c AS a, b.c AS b, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND b.at < a.at GROUP BY a.c, b.c),
+g AS (SELECT DISTINCT a AS c FROM q JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+d AS (SELECT k.doc_id, k.line_no FROM k JOIN f USING (c) LEFT JOIN g USING (c) WHERE g.c IS NOT NULL OR f.at <> [k.doc_id, k.line_no])
+SELECT o.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed FROM documents o
+LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed FROM d GROUP BY doc_id) r USING (doc_id)"""
+
+_OP10 = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, {_WORDS}), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+q AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+p AS (SELECT a, b FROM q JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d),
+c AS (SELECT d, min(c) AS component_id FROM r GROUP BY d)
+SELECT o.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents o JOIN c ON c.d = o.doc_id LEFT JOIN n USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are tested against brute force."""
+    return {"op1_embedding_dedup": _OP1, "op6_line_dedup": _OP6, "op10_ngram_join": _OP10}
