@@ -21,7 +21,7 @@ from .common import forget, free_names, keep
 GAPS = r"[ \t\n\x0B\f\r]+"
 SHINGLE = 5
 #: Classes that hold a token from which on it goes last in the order.
-FREQUENT_FROM = 128
+FREQUENT_FROM = 48
 #: Classes of a token from which on its pairs are verified inside the join.
 CROWDED_FROM = 64
 #: Lines asked for up to which their numbers are sent to all executors (about 60 bytes each) rather than texts shuffled.
@@ -170,21 +170,35 @@ def _frequent_last(docs: DataFrame, lines: DataFrame, spread: DataFrame, first:
     if often.isEmpty():
         return spread
     touched = keep(spread.join(often, "token").select("cid").distinct())
-    pairs = "transform(sequence(0, size(h) - 5), i -> struct(h[i] as first, xxhash64(h[i], h[i+1], h[i+2], h[i+3], h[i+4]) as token))"
-    whole = _fetch(docs, touched.join(first, "cid").select("at.doc_id", "at.dh", "at.line_no", "cid"), "cid").select(
-        "cid", F.size(F.expr(_ALL)).alias("n"), F.expr(pairs).alias("tokens")
-    )
-    whole = keep(whole.select("cid", "n", F.explode_outer("tokens").alias("t")).select("cid", "n", "t.first", "t.token"))
-    many = keep(whole.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= frequent_from).select("token").unionByName(often).distinct())
+    asked = touched.join(first, "cid").select("at.doc_id", "at.dh", "at.line_no", "cid")
+    held = _fetch(docs, asked, "cid").select("cid", F.size(F.expr(_ALL)).alias("n"), F.sort_array(F.array_distinct(F.slice("h", 1, F.size("h") - 4))).alias("firsts"), "h")
+    # the lowest tokens, about twice as many as a prefix has, mostly hold enough infrequent ones
+    held = keep(held.withColumn("want", F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1).withColumn("upto", F.least(F.size("firsts"), F.col("want") * 2 + 8)))
+    pairs = "transform(filter(sequence(0, size(h) - 5), i -> h[i] <= last), i -> struct(h[i] as first, xxhash64(h[i], h[i+1], h[i+2], h[i+3], h[i+4]) as token))"
+
+    def tokens(rows: DataFrame, last: Column) -> DataFrame:
+        t = rows.withColumn("last", last).select("cid", "n", "want", (F.col("last") == F.element_at("firsts", -1)).alias("all"), F.explode_outer(F.expr(pairs)).alias("t"))
+        return t.select("cid", "n", "want", "all", "t.first", "t.token")
+
+    low = tokens(held, F.expr("element_at(firsts, upto)"))
+    many = keep(low.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= frequent_from).select("token").unionByName(often).distinct())
     others = lines.where("prefix is not null").join(touched, "cid", "left_anti").select(F.explode(F.expr("transform(prefix, p -> p.token)")).alias("token"))
-    late = many.join(others.join(many, "token", "left_semi").distinct(), "token", "left_anti").withColumn("late", F.lit(1))
-    known = whole.join(late, "token", "left").withColumn("late", F.coalesce("late", F.lit(0)))
-    again = known.selectExpr("*", "dense_rank() over (partition by cid order by late, first, token) - 1 as place")
-    again = again.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    late = keep(many.join(others.join(many, "token", "left_semi").distinct(), "token", "left_anti").withColumn("late", F.lit(1)))
+
+    def prefixes(rows: DataFrame) -> DataFrame:
+        """Tokens in the new order with their places; enough: the infrequent ones fill the prefix, or all tokens are here."""
+        known = rows.join(late, "token", "left").withColumn("late", F.coalesce("late", F.lit(0)))
+        ranked = known.selectExpr("*", "dense_rank() over (partition by cid order by late, first, token) - 1 as place")
+        ranked = ranked.selectExpr("*", "max(if(late = 0, place + 1, 0)) over (partition by cid) as rare")
+        return ranked.where("place < want").select("token", "cid", "n", "place", (F.col("all") | (F.col("rare") >= F.col("want"))).alias("enough"))
+
+    ready = keep(prefixes(low))
+    short = held.join(ready.where("not enough").select("cid").distinct(), "cid", "left_semi")
+    again = ready.where("enough").unionByName(prefixes(tokens(short, F.element_at("firsts", -1)))).distinct()
     # the exact number of tokens bounds the length from both sides
     again = again.select("token", "cid", F.least("n", F.lit(_SMALL)).alias("most"), F.least("n", F.lit(_SMALL)).alias("fewest"), F.col("place").cast("int").alias("place"))
     out = keep(spread.join(touched, "cid", "left_anti").select(*again.columns).unionByName(again).distinct())
-    for used in (often, touched, whole, many, spread):
+    for used in (often, touched, held, many, late, ready, spread):
         forget(used)
     return out
 
