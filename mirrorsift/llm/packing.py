@@ -24,7 +24,7 @@ from .common import forget, keep, slices
 
 CAPACITY = 4096
 #: Chunks whose ids a worker remembers; beyond that it starts anew.
-MOST_WORDS = 700_000
+MOST_WORDS = 300_000
 
 
 class Encoder:

@@ -345,7 +345,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, most_bytes=1_500_000):
+        for batch in slices(batches, most_bytes=1_000_000):
             score = score_texts(batch.column("text").to_pylist(), model)
             out = [zlib.crc32(str(d).encode()) % 3 == 1 if d is not None else None for d in batch.column("doc_id").to_pylist()]
             arrays = [batch.column("doc_id"), pa.array(out, pa.bool_()), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
@@ -360,7 +360,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, most_bytes=1_500_000):
+        for batch in slices(batches, most_bytes=1_000_000):
             score = score_texts(batch.column("text").to_pylist(), model)
             yield batch.filter(pa.array(score < threshold))
 
