@@ -93,12 +93,12 @@ SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links, compo
 
 _OP6 = f"""WITH l AS (SELECT doc_id, i - 1 AS line_no, regexp_extract_all(x[i], {_WORDS}) AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
 k AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS c FROM l WHERE len(w) >= 5),
-f AS (SELECT c, any_value(w) AS w, min([doc_id, line_no]) AS at FROM k GROUP BY c),
-s AS (SELECT DISTINCT c, at, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT c, at, w, unnest(range(1, len(w) - 3)) AS i FROM f)),
+f AS (SELECT c, any_value(w) AS w, min([doc_id, line_no]) AS spot FROM k GROUP BY c),
+s AS (SELECT DISTINCT c, spot, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT c, spot, w, unnest(range(1, len(w) - 3)) AS i FROM f)),
 n AS (SELECT c, count(*) AS n FROM s GROUP BY c),
-q AS (SELECT a.c AS a, b.c AS b, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND b.at < a.at GROUP BY a.c, b.c),
+q AS (SELECT a.c AS a, b.c AS b, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND b.spot < a.spot GROUP BY a.c, b.c),
 g AS (SELECT DISTINCT a AS c FROM q JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
-d AS (SELECT k.doc_id, k.line_no FROM k JOIN f USING (c) LEFT JOIN g USING (c) WHERE g.c IS NOT NULL OR f.at <> [k.doc_id, k.line_no])
+d AS (SELECT k.doc_id, k.line_no FROM k JOIN f USING (c) LEFT JOIN g USING (c) WHERE g.c IS NOT NULL OR f.spot <> [k.doc_id, k.line_no])
 SELECT o.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed FROM documents o
 LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed FROM d GROUP BY doc_id) r USING (doc_id)"""
 
