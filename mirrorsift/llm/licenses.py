@@ -3,6 +3,9 @@ alignment reports how much of a template a text holds and where."""
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -98,25 +101,22 @@ class Index:
         return [(k, t, int(d)) for d in np.flatnonzero(self.keys[at] == grams) for k, t in self.where[int(grams[d])]]
 
     def candidates(self, hits: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-        """(template, begin in the text): hits of one template on near diagonals are one candidate."""
-        out = []
-        for k, d in sorted({(k, d - t) for k, t, d in hits}):
-            if not out or out[-1][0] != k or d - out[-1][2] > BAND:
-                out.append([k, d, d])
-            out[-1][2] = d
-        return [(k, (a + b) // 2) for k, a, b in out]
+        """(template, begin in the text): each diagonal that has hits."""
+        return sorted({(k, d - t) for k, t, d in hits})
 
 
 def align(template: np.ndarray, words: np.ndarray, begin: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, end): the longest common subsequence near the diagonal that starts at begin.
+    """(matched words, first, end): the longest common subsequence near the diagonal that starts at begin; of several
+    the one in the fewest words of the text, then the first.
 
     Cells farther than band from the diagonal aren't computed. first and end are places of the first and after
     the last matched word in words.
     """
-    # each row: for offset o in -band..band, best (matches, -start, -end) with text words up to begin + i + o
+    # each row: for offset o in -band..band, best (matches, start) with text words up to begin + i + o
     wide = 2 * band + 1
-    none = (0, 0, 0)
+    none = (0, 0)
     before = [none] * wide
+    top = (0, 0, 0)
     for i, want in enumerate(template):
         row = []
         for o in range(wide):
@@ -125,32 +125,71 @@ def align(template: np.ndarray, words: np.ndarray, begin: int, band: int = BAND)
             if o and row[o - 1] > best:
                 best = row[o - 1]  # leave out the text's word
             if 0 <= j < len(words) and words[j] == want:
-                n, start, _ = before[o]
-                one = (n + 1, start if n else -j, -(j + 1))
+                n, start = before[o]
+                one = (n + 1, start if n else j)
                 best = max(best, one)
+                top = max(top, (one[0], one[1] - j - 1, -one[1]))
             row.append(best)
         before = row
-    n, start, end = max(before)
-    return n, -start, -end
+    n, span, start = top
+    return n, -start, -start - span
+
+
+def part(template: list[int], words: list[int], begin: int, need: int) -> list[tuple[int, int, int]]:
+    """align() where need words match, else nothing; a passage that holds several separate ones gives all of these."""
+    n, first, end = align(template, words, begin)
+    if n < need:
+        return []
+    best: tuple = ()
+    for cut in range(first + need, end - need + 1):
+        a, b = align(template, words[first:cut], begin - first), align(template, words[cut:end], begin - cut)
+        if min(a[0], b[0]) >= need and (not best or a[0] + b[0] > best[0]):
+            best = (a[0] + b[0], cut)
+    if not best:
+        return [(n, first, end)]
+    cut = best[1]
+    return [(m, f + at, e + at) for at, stop in ((first, cut), (cut, end)) for m, f, e in part(template, words[at:stop], begin - at, need)]
 
 
 def scan_text(text: str | None, words: np.ndarray, index: Index, least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int]]:
     """(template, coverage, start, end) of a text's license passages, in code points; overlapping ones: the longest
-    match stays, then the higher coverage."""
+    match stays, then the higher coverage, and the others are aligned again with the words that are left."""
     hits = index.hits(words) if len(words) >= index.gram else []
     if not hits:
         return []
-    found = []
+    templates = {k: index.words[k].tolist() for k, _, _ in hits}
+    shared = {k: np.concatenate([[0], np.cumsum(np.isin(words, index.words[k]))]) for k in templates}
+    taken: list[tuple[int, int]] = []  # places of passages that stay, by place
+    heap: list[tuple] = []
+    turns: dict[tuple[int, int], int] = {}  # proposals of a diagonal; older ones than its last don't count
+
+    def propose(k: int, begin: int) -> None:
+        size = len(templates[k])
+        need = max(math.ceil(least * size), 1)
+        turns[k, begin] = turn = turns.get((k, begin), 0) + 1
+        low, high = max(begin - BAND, 0), min(begin + size + BAND, len(words))
+        at = bisect.bisect_left(taken, (low, low))
+        for first, end in [*taken[max(at - 1, 0) : bisect.bisect_left(taken, (high, high))], (high, high)]:
+            # no more words can match than the template has in common with the free stretch
+            if first - low >= need and shared[k][first] - shared[k][low] >= need:
+                for n, f, e in part(templates[k], words[low:first].tolist(), begin - low, need):
+                    heapq.heappush(heap, (-n, -n / size, index.names[k], e - f, low + f, low + e, k, begin, turn))
+            low = max(low, end)
+
     for k, begin in index.candidates(hits):
-        n, first, end = align(index.words[k], words, begin)
-        if n >= least * len(index.words[k]):
-            found.append((n, n / len(index.words[k]), index.names[k], first, end))
+        propose(k, begin)
+    found = []
+    while heap:
+        n, _, name, _, first, end, k, begin, turn = heapq.heappop(heap)
+        if turn != turns[k, begin]:
+            continue
+        at = bisect.bisect_left(taken, (first, end))
+        if not (at and taken[at - 1][1] > first) and not (at < len(taken) and taken[at][0] < end):
+            taken.insert(at, (first, end))
+            found.append((name, -n / len(templates[k]), first, end))
+        propose(k, begin)
     spans = [m.span() for m in _WORD.finditer(text)] if found else []
-    kept: list[tuple[str, float, int, int]] = []
-    for _, coverage, name, first, end in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-        begin, stop = spans[first][0], spans[end - 1][1]
-        if all(stop <= b or e <= begin for _, _, b, e in kept):
-            kept.append((name, coverage, begin, stop))
+    kept = [(name, coverage, spans[first][0], spans[end - 1][1]) for name, coverage, first, end in found]
     return sorted(kept, key=lambda x: (x[2], x[0]))
 
 
