@@ -194,6 +194,21 @@ def scene_pairs(scenes: DataFrame, params: AlignParams) -> DataFrame:
     return pairs.where(_lowest_shared_band(BandParams(params.bands, params.distance))).select("x", "x_index", "x_ts", "y", "y_index", "y_ts")
 
 
+def near_scene_pairs(scenes: DataFrame, distance: int = 6) -> DataFrame:
+    """(x, x_index, x_ts, y, y_index, y_ts, distance) of scenes of different files within the distance, by the multi-index.
+
+    Distinct hashes are compared first, so that a hot hash is probed once.
+    """
+    rows = scenes.where(F.col("phash").isNotNull() & (F.col("phash") != 0)).select("file_id", "scene_index", "ts_ms", "phash")
+    own = rows.select("phash").distinct()
+    near = mih_join(own.select(F.col("phash").alias("file_id"), "phash"), distance)
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    near = near.unionByName(own.select(F.col("phash").alias("a"), F.col("phash").alias("b"), F.lit(0).cast("long").alias("distance")))
+    x = rows.select(F.col("file_id").alias("x"), F.col("scene_index").alias("x_index"), F.col("ts_ms").alias("x_ts"), F.col("phash").alias("a"))
+    y = rows.select(F.col("file_id").alias("y"), F.col("scene_index").alias("y_index"), F.col("ts_ms").alias("y_ts"), F.col("phash").alias("b"))
+    return x.join(near, "a").join(y, "b").where("x <> y").select("x", "x_index", "x_ts", "y", "y_index", "y_ts", "distance")
+
+
 def offset_votes(pairs: DataFrame) -> DataFrame:
     """(clip, source, bucket, votes): each pair votes for the five offset buckets around its own."""
     own = floor_bucket(F.col("y_ts") - F.col("x_ts"), VOTE_BUCKET_MS)
@@ -203,8 +218,22 @@ def offset_votes(pairs: DataFrame) -> DataFrame:
 
 def clip_candidates(scenes: DataFrame, params: AlignParams) -> DataFrame:
     """(clip, source, bucket, votes) worth verifying: two votes, a long enough clip, a source with more scenes."""
+    return _long_enough(scene_pairs(scenes, params), scenes, params)
+
+
+def alignable_candidates(scenes: DataFrame, params: AlignParams) -> DataFrame:
+    """The clip_candidates that an alignment can hold: those with two votes of scenes within the distance.
+
+    Each matched scene pair of an alignment is within the distance and its time votes for the alignment's bucket, so
+    candidates with fewer such votes fail. Needs bands that find all pairs; with others these are clip_candidates.
+    """
+    whole = BandParams(params.bands, params.distance).finds_all and params.distance < 8 and params.min_matched >= LEAST_VOTES
+    return _long_enough(near_scene_pairs(scenes, params.distance), scenes, params) if whole else clip_candidates(scenes, params)
+
+
+def _long_enough(pairs: DataFrame, scenes: DataFrame, params: AlignParams) -> DataFrame:
     counts = scenes.groupBy("file_id").agg(F.count("*").alias("n"))
-    v = offset_votes(scene_pairs(scenes, params)).where(F.col("votes") >= LEAST_VOTES)
+    v = offset_votes(pairs).where(F.col("votes") >= LEAST_VOTES)
     v = v.join(counts.select(F.col("file_id").alias("clip"), F.col("n").alias("clip_n")), "clip").join(counts.select(F.col("file_id").alias("source"), F.col("n").alias("source_n")), "source")
     return v.where((F.col("clip_n") >= params.min_scenes) & (F.col("source_n") > F.col("clip_n"))).select("clip", "source", "bucket", "votes")
 
@@ -220,6 +249,7 @@ def align_one(clip_ts: np.ndarray, clip_hash: np.ndarray, source_ts: np.ndarray,
     """
     at, matched = 0, 0
     ends = [0, 0, 0, 0]
+    # bits are counted in unsigned words: of a negative one bitwise_count takes the absolute value
     lows = np.searchsorted(source_ts, clip_ts + offset - MATCH_TOLERANCE_MS, side="left")
     highs = np.searchsorted(source_ts, clip_ts + offset + MATCH_TOLERANCE_MS, side="right")
     for k in np.flatnonzero(clip_hash):
@@ -227,7 +257,7 @@ def align_one(clip_ts: np.ndarray, clip_hash: np.ndarray, source_ts: np.ndarray,
         some = source_hash[begin : highs[k]]
         if not len(some):
             continue
-        near = np.flatnonzero((np.bitwise_count(some ^ clip_hash[k]) <= distance) & (some != 0))
+        near = np.flatnonzero((np.bitwise_count((some ^ clip_hash[k]).view(np.uint64)) <= distance) & (some != 0))
         if len(near):
             at = begin + int(near[0]) + 1
             if not matched:
@@ -264,7 +294,7 @@ def verify_alignments(candidates: DataFrame, sequences: DataFrame, params: Align
 
 def partial_clips(scenes: DataFrame, sequences: DataFrame, params: AlignParams = PARTIAL_CLIPS, candidates: DataFrame | None = None) -> DataFrame:
     """The best alignment of each (clip, source): more matches, then the smaller absolute offset, then the smaller one."""
-    c = clip_candidates(scenes, params) if candidates is None else candidates
+    c = alignable_candidates(scenes, params) if candidates is None else candidates
     v = verify_alignments(c.select("clip", "source", (F.col("bucket") * VOTE_BUCKET_MS).alias("offset_ms")), sequences, params)
     v = v.withColumn("source_offset", F.col("source_start_ms") - F.col("clip_start_ms")).withColumn("coverage_x1000", F.least(F.floor(F.col("matched") * 1000 / F.col("clip_scenes")), F.lit(1000)).cast("long"))
     w = Window.partitionBy("clip", "source").orderBy(F.desc("matched"), F.abs("source_offset"), "source_offset", "source_start_ms", "offset_ms")
@@ -289,7 +319,7 @@ def partial_incremental(scenes: DataFrame, sequences: DataFrame, previous: DataF
     kept = previous.join(ids.withColumnRenamed("file_id", "clip"), "clip", "left_anti").join(ids.withColumnRenamed("file_id", "source"), "source", "left_anti")
     there = sequences.select("file_id")
     kept = kept.join(there.withColumnRenamed("file_id", "clip"), "clip", "left_semi").join(there.withColumnRenamed("file_id", "source"), "source", "left_semi")
-    marked = clip_candidates(scenes, params).join(ids.select(F.col("file_id").alias("clip"), F.lit(True).alias("c")), "clip", "left").join(ids.select(F.col("file_id").alias("source"), F.lit(True).alias("s")), "source", "left")
+    marked = alignable_candidates(scenes, params).join(ids.select(F.col("file_id").alias("clip"), F.lit(True).alias("c")), "clip", "left").join(ids.select(F.col("file_id").alias("source"), F.lit(True).alias("s")), "source", "left")
     new = partial_clips(scenes, sequences, params, marked.where("c or s").select("clip", "source", "bucket", "votes"))
     return kept.select(*new.columns).unionByName(new)
 

@@ -8,6 +8,8 @@ from mirrorsift.operators import ranking as R
 from mirrorsift.plans.catalog import query
 
 #: The test vectors are far apart, and the test scenes' hashes are of lines of text: distances and bands for them.
+#: CLIPS and WHOLE, with four bands that miss some near scenes, serve the queries whose SQL has these bands;
+#: the production parameters (eight bands, which find all) serve those without SQL.
 NEAR = D.BandParams(bands=8, distance=20)
 CLIPS = D.AlignParams(bands=4, distance=6, coverage_x1000=1000, min_matched=3)
 WHOLE = D.AlignParams(bands=4, distance=6)
@@ -108,6 +110,16 @@ def _(t):
     return D.clip_candidates(t.scenes, CLIPS)
 
 
+@query("join_offset_votes_eight_bands")
+def _(t):
+    return D.offset_votes(D.scene_pairs(t.scenes, D.PARTIAL_CLIPS)).where("votes >= 2")
+
+
+@query("dup_clip_candidates_eight_bands")
+def _(t):
+    return D.clip_candidates(t.scenes, D.PARTIAL_CLIPS)
+
+
 @query("ver_offset_buckets", "SELECT file_id, scene_index, unnest(range(o - 2, o + 3)) AS bucket FROM (SELECT file_id, scene_index, floor((ts_ms - 7777) / 2500.0)::BIGINT AS o FROM scenes)")
 def _(t):
     own = floor_bucket(F.col("ts_ms") - 7777, 2500)
@@ -116,18 +128,18 @@ def _(t):
 
 @query("dup_partial_clips")
 def _(t):
-    return D.partial_clips(t.scenes, t.sequences, CLIPS)
+    return D.partial_clips(t.scenes, t.sequences, D.PARTIAL_CLIPS)
 
 
 @query("dup_partial_counters")
 def _(t):
-    return D.partial_counters(t.scenes, t.sequences, CLIPS)
+    return D.partial_counters(t.scenes, t.sequences, D.PARTIAL_CLIPS)
 
 
 @query("dup_partial_incremental")
 def _(t):
     ids = t.raw("documents").where("doc_id % 7 = 3").select(F.col("doc_id").alias("file_id"))
-    return D.partial_incremental(t.scenes, t.sequences, D.partial_clips(t.scenes, t.sequences, CLIPS), ids, CLIPS)
+    return D.partial_incremental(t.scenes, t.sequences, D.partial_clips(t.scenes, t.sequences, D.PARTIAL_CLIPS), ids, D.PARTIAL_CLIPS)
 
 
 @query("dup_partial_postings", "SELECT DISTINCT file_id FROM (SELECT file_id, (phash >> (k * 16)) & 65535 AS v, k FROM scenes, (VALUES (0), (1), (2), (3)) b(k) WHERE phash <> 0) WHERE (k, v) IN (SELECT k, (phash >> (k * 16)) & 65535 FROM scenes, (VALUES (0), (1), (2), (3)) b(k) WHERE phash <> 0 AND file_id = 11)")
@@ -165,9 +177,14 @@ def _(t):
     return D.whole_candidates(t.scenes, WHOLE)
 
 
+@query("dup_whole_candidates_eight_bands")
+def _(t):
+    return D.whole_candidates(t.scenes, D.AlignParams())
+
+
 @query("dup_whole_matches")
 def _(t):
-    return D.whole_matches(t.scenes, t.sequences, WHOLE)
+    return D.whole_matches(t.scenes, t.sequences, D.AlignParams())
 
 
 _EFF = "CASE codec WHEN 'av1' THEN 350 WHEN 'hevc' THEN 300 WHEN 'h265' THEN 300 WHEN 'vp9' THEN 260 WHEN 'h264' THEN 200 ELSE 100 END"
