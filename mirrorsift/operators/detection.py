@@ -209,6 +209,12 @@ def near_scene_pairs(scenes: DataFrame, distance: int = 6) -> DataFrame:
     return x.join(near, "a").join(y, "b").where("x <> y").select("x", "x_index", "x_ts", "y", "y_index", "y_ts", "distance")
 
 
+def near_files(scenes: DataFrame, distance: int = 6) -> DataFrame:
+    """(a, b, distance, pairs) of files a < b with near scenes: the least distance, and how many scene pairs are near."""
+    near = near_scene_pairs(scenes, distance).where("x < y").groupBy(F.col("x").alias("a"), F.col("y").alias("b"))
+    return near.agg(F.min("distance").alias("distance"), F.count("*").alias("pairs"))
+
+
 def offset_votes(pairs: DataFrame) -> DataFrame:
     """(clip, source, bucket, votes): each pair votes for the five offset buckets around its own."""
     own = floor_bucket(F.col("y_ts") - F.col("x_ts"), VOTE_BUCKET_MS)

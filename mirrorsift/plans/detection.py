@@ -93,6 +93,13 @@ def _(t):
     return D.mih_join(t.scenes.where("scene_index = 0 and phash <> 0").select("file_id", "phash"))
 
 
+@query("join_hamming_multi_index_scenes", """SELECT x.file_id AS a, y.file_id AS b, min(d)::BIGINT AS distance, count(*) AS pairs FROM sh x JOIN nh ON nh.p = x.h JOIN sh y ON nh.q = y.h AND x.file_id < y.file_id GROUP BY ALL""",
+       f"""sh AS (SELECT file_id, {_unsigned("phash")}::UBIGINT AS h FROM scenes WHERE phash <> 0), dh AS (SELECT DISTINCT h FROM sh),
+nh AS (SELECT x.h AS p, y.h AS q, bit_count(xor(x.h, y.h)) AS d FROM dh x JOIN dh y ON bit_count(xor(x.h, y.h)) <= 6)""")
+def _(t):
+    return D.near_files(t.scenes)
+
+
 _SC = f"""sc AS (SELECT file_id, scene_index, ts_ms, phash AS h FROM scenes WHERE phash <> 0),
 bn AS (SELECT *, b.k AS band, (h >> (b.k * 16)) & 65535 AS v FROM sc, (VALUES (0), (1), (2), (3)) b(k)),
 sp AS (SELECT DISTINCT x.file_id AS x, x.scene_index AS xi, x.ts_ms AS xt, y.file_id AS y, y.scene_index AS yi, y.ts_ms AS yt FROM bn x JOIN bn y ON x.band = y.band AND x.v = y.v AND x.file_id <> y.file_id),
