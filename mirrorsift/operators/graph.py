@@ -58,6 +58,45 @@ def transitive_members(groups: DataFrame, members: DataFrame) -> DataFrame:
     return m.join(roots, m["file_id"] == roots["node"], "left").select(F.coalesce("root", "file_id").alias("root"), "file_id", "group_id", "rank")
 
 
+def _free_ids(groups: DataFrame) -> DataFrame:
+    """One row: the highest group_id there is, 0 without one; new groups are numbered from the next one on."""
+    return groups.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("taken"))
+
+
+def near_groups(edges: DataFrame) -> DataFrame:
+    """(low, file_id) of the components of near edges (a, b); low is the smallest member. A component has two members at least."""
+    return components(edges).select(F.col("root").alias("low"), F.col("node").alias("file_id"))
+
+
+def rebuilt_near(groups: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(group_id, trust, non_transitive, file_id) after a near rebuild: near groups replace the transitive VERY_LIKELY ones."""
+    kept = groups.where("trust <> 'VERY_LIKELY' or non_transitive").select("group_id", "trust", "non_transitive")
+    old = kept.join(members.select("group_id", "file_id").distinct(), "group_id")
+    new = near_groups(edges).join(F.broadcast(_free_ids(groups))).select((F.col("taken") + 1 + F.col("low")).alias("group_id"), F.lit("VERY_LIKELY").alias("trust"), F.lit(False).alias("non_transitive"), "file_id")
+    return old.unionByName(new)
+
+
+def uncovered(pairs: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b, more) whose ends aren't in one transitive component."""
+    roots = transitive_members(groups, members).select("file_id", "root").distinct()
+    j = pairs.join(roots.select(F.col("file_id").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("file_id").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    return j.where("not coalesce(root_a = root_b, false)").select(*pairs.columns)
+
+
+def rebuilt_whole(groups: DataFrame, members: DataFrame, matches: DataFrame) -> DataFrame:
+    """(group_id, trust, non_transitive, file_id, score_x1000) after a whole-file rebuild: each match (a, b, passes_gate,
+    score_x1000) that passes and isn't covered is a non-transitive group of two; these replace the non-transitive
+    VERY_LIKELY ones. Scores of kept groups are null.
+    """
+    kept = groups.where("trust <> 'VERY_LIKELY' or not non_transitive").select("group_id", "trust", "non_transitive")
+    old = kept.join(members.select("group_id", "file_id").distinct(), "group_id").withColumn("score_x1000", F.lit(None).cast("long"))
+    plan = materialize(uncovered(matches.where("passes_gate").select("a", "b", "score_x1000"), kept, members))
+    # one number for each pair, without numbering all pairs in one task
+    wide = plan.agg(F.coalesce(F.max("b"), F.lit(0)).alias("most")).join(_free_ids(groups))
+    new = plan.join(F.broadcast(wide)).select((F.col("taken") + 1 + F.col("a") * (F.col("most") + 1) + F.col("b")).alias("group_id"), F.lit("VERY_LIKELY").alias("trust"), F.lit(True).alias("non_transitive"), F.explode(F.array("a", "b")).alias("file_id"), "score_x1000")
+    return old.unionByName(new)
+
+
 def clusters(groups: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster_id, file_id, trust, representative, first_member) of all clusters; cluster_id is the smallest group id.
 

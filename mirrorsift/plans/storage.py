@@ -6,6 +6,7 @@ from mirrorsift.operators import detection as D
 from mirrorsift.operators import graph as G
 from mirrorsift.sources import store as ST
 from mirrorsift.plans.catalog import query
+from mirrorsift.plans.detection import NEAR
 
 
 @query("src_merge_by_key", "SELECT id, 'new' AS v FROM files WHERE id % 3 = 0 UNION ALL SELECT id + 100000000, 'new' FROM files WHERE id % 3 = 0 UNION ALL SELECT id, 'old' FROM files WHERE id % 3 <> 0")
@@ -100,3 +101,32 @@ def _(t):
 def _(t):
     # a detector's rebuild replaces its own groups only
     return t.groups.where("trust <> 'VERY_LIKELY' or non_transitive").select("group_id", "trust")
+
+
+def _near_edges(t):
+    own = t.active.select(F.col("id").alias("file_id"))
+    return D.hamming_join(t.phashes.join(own, "file_id", "left_semi"), NEAR)
+
+
+@query("dup_near_groups")
+def _(t):
+    return G.near_groups(D.hamming_join(t.phashes, NEAR))
+
+
+@query("reb_near")
+def _(t):
+    return G.rebuilt_near(t.groups, t.members, _near_edges(t))
+
+
+@query("reb_near_edges")
+def _(t):
+    e = D.near_scores(_near_edges(t))
+    low = G.near_groups(e).select("low", F.col("file_id").alias("a"))
+    return e.join(low, "a").select("low", "a", "b", "score_x1000")
+
+
+@query("reb_whole")
+def _(t):
+    own = t.active.select(F.col("id").alias("file_id"))
+    scenes, sequences = t.scenes.join(own, "file_id", "left_semi"), t.sequences.join(own, "file_id", "left_semi")
+    return G.rebuilt_whole(t.groups, t.members, D.whole_matches(scenes, sequences, D.AlignParams()))
