@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAPS, gram_hashes, mix, slices, split_words, word_hashes
 
-#: Labelled rows of each class that the model is fitted on, at most, and bytes of each text in the fit.
-FIT_ROWS, FIT_BYTES = 1500, 6000
+#: Labelled rows of each class that the model is fitted on, at most, and characters of a class beyond which no more rows join.
+FIT_ROWS, FIT_CHARS = 1500, 24_000_000
 #: log2 of the number of hashed features of each kind (words, word pairs, 2- and 4-byte windows).
 BITS = 16
 KINDS = 4
@@ -142,10 +142,11 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 120) -> dict:
     return {"weights": weights.astype(np.float32), "bias": float(bias), "slope": max(slope, 1e-3), "offset": offset}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, most_bytes: int, rule=None) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most rows rows of each class, chosen by a hash of the id; a text's first part only.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, most_chars: int, rule=None) -> tuple[list[str], np.ndarray]:
+    """Whole texts and labels of at most rows rows of each class, chosen by a hash of the id.
 
-    The bound holds for the fit alone; scores read whole texts.
+    Rows of a class beyond most_chars characters in all, in the order of the hash, are left out as a whole. The bounds
+    hold for the fit alone; scores read all texts.
     """
     chosen = labels.where(f"{column} is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     if rule is not None:
@@ -155,9 +156,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     if not picks:
         return [], np.zeros(0)
     spark = docs.sparkSession
-    few = spark.createDataFrame([(r["doc_id"], r["label"]) for r in picks], "doc_id long, label int")  # at most 2 * rows rows
-    found = docs.selectExpr("cast(doc_id as long) as doc_id", f"substring(text, 1, {most_bytes}) as text").where("text is not null").join(F.broadcast(few), "doc_id")
-    got = sorted({(zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"], r["label"]) for r in found.collect()})
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("text is not null")
+
+    def few(ids: list[int]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))  # at most 2 * rows rows
+
+    sizes: dict[int, int] = {}
+    for r in texts.join(few(sorted({r["doc_id"] for r in picks})), "doc_id").select("doc_id", F.length("text").alias("n")).collect():
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["n"]
+    taken, wanted = [0, 0], {}
+    for r in picks:
+        if r["doc_id"] in sizes and taken[r["label"]] < most_chars:
+            taken[r["label"]] += sizes[r["doc_id"]]
+            wanted.setdefault(r["doc_id"], set()).add(r["label"])
+    found = texts.join(few(sorted(wanted)), "doc_id").collect() if wanted else []
+    got = sorted({(zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"], v) for r in found for v in wanted[r["doc_id"]]})
     return [g[2] for g in got], np.array([g[3] for g in got])
 
 
@@ -168,7 +181,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FR
     labels (doc_id, quality) teach the classifier; without any, all texts have p_good 0.5. Null and empty texts
     have no words and fail. Ties at the threshold are kept. Other columns are ignored.
     """
-    texts, y = labelled_sample(docs, labels, "quality", fit_rows, FIT_BYTES)
+    texts, y = labelled_sample(docs, labels, "quality", fit_rows, FIT_CHARS)
     model = fit(texts, y) if texts else {"weights": np.zeros((KINDS, 1 << BITS), np.float32), "bias": 0.0, "slope": 1.0, "offset": 0.0}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

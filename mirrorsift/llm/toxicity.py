@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import slices
 from .quality_rules import labelled_sample
 
-#: Labelled rows of each class that the model is fitted on, at most, and characters of each text in the fit.
-FIT_ROWS, FIT_CHARS = 1500, 16_000
+#: Labelled rows of each class that the model is fitted on, at most, and characters of a class beyond which no more rows join.
+FIT_ROWS, FIT_CHARS = 1500, 24_000_000
 #: Words of a window, and words from one window's start to the next one's.
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, POOL_DIM = 8, 8, 12, 8
