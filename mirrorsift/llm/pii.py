@@ -56,6 +56,25 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def account_length(run: str) -> int:
+    """Characters of the longest account number that run begins with and that ends with a group or with run; 0 without one."""
+    for end in [len(run), *(k for k in range(len(run) - 1, 0, -1) if run[k] == " ")]:
+        plain = run[:end].replace(" ", "")
+        if len(plain) < 15:
+            break
+        if len(plain) <= 34 and mod97(plain):
+            return end
+    return 0
+
+
+def accounts(text: str) -> Iterator[re.Match]:
+    """Runs that may begin with an account number; the next one is sought behind the number, or behind the first group."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        yield m
+        at = m.start() + (account_length(m[0]) or 4)
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     out, end = [], 0
     at = text.find("@")
@@ -106,11 +125,11 @@ def added_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple
 
     for kind, pattern in (("iban", _IBAN), ("social", _SOCIAL), ("short_card", _CARD), ("local_phone", _NUMBER)):
         own: list[tuple[int, int, float]] = []
-        for m in pattern.finditer(text):
+        for m in accounts(text) if kind == "iban" else pattern.finditer(text):
             begin, end = m.span()
             if kind == "iban":
-                plain = m[0].replace(" ", "")
-                confirmed = 15 <= len(plain) <= 34 and mod97(plain)
+                end = begin + account_length(m[0])
+                confirmed = end > begin
                 if not confirmed:
                     continue
             elif kind == "social":
