@@ -1,6 +1,7 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions only.
 
-A line's tokens are its five-word shingles (the whole line if it has fewer words). Tokens have one global order:
+A line's tokens are its five-word shingles (the whole line if it has fewer words and min_words lets it take part; with the
+registered five it doesn't). Tokens have one global order:
 frequent ones last, then by the hash of their first word, then by their own. The first tokens of every line, at
 least floor(n (1 - t)) + 1 of them, are joined on equality (prefix filter); pairs whose lengths or whose places in
 the order rule the threshold out are dropped (length and positional filters), the others are verified by their
