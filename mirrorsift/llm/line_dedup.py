@@ -1,15 +1,21 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions only.
 
-A line's tokens are its five-word shingles (the whole line if it has fewer words and min_words lets it take part; with the
-registered five it doesn't). Tokens have one global order:
-frequent ones last, then by the hash of their first word, then by their own. The first tokens of every line, at
-least floor(n (1 - t)) + 1 of them, are joined on equality (prefix filter); pairs whose lengths or whose places in
-the order rule the threshold out are dropped (length and positional filters), the others are verified by their
-Jaccard similarity on whole sets. A line is removed if it equals an earlier line, or is similar to the first
-occurrence of another line that is earlier. Earlier: by document, then by line.
-
-Lines with equal words are one class, so copies are joined once. A class is first compared with two classes
-of each token; only classes that this doesn't settle are compared with all others.
+A line's tokens are its five-word shingles; a line of fewer words counts as one token, so that only an equal line
+resembles it. Tokens are ordered by rarity, that of the word that begins them, which bounds their own: all words of
+all texts are counted in hash buckets, and a token comes the earlier the lower the count of its first word's bucket, then by
+hashes. The order is fixed before prefixes are cut, so any counts give the same result; good ones keep frequent tokens
+out of the prefixes.
+
+Of a line with n tokens at least the first n - ceil(t n) + DEPTH are its prefix. Two similar lines share at least
+min(DEPTH, ceil(t n)) tokens of their prefixes (prefix filter). Where a prefix token meets another line's, pairs are
+dropped whose lengths (length filter), whose places in the order (positional filter) or whose parities of hashed tokens
+(at least as many tokens differ as bits do) rule the threshold out. The rest are verified by their Jaccard similarity on whole sets.
+A line is removed if it equals an earlier line, or is similar to the first occurrence of another line that is
+earlier, removed or not. Earlier: by document (those without id first), then by line.
+
+Lines with equal words are one class, so copies are joined once. Tokens of many classes are crowded: their
+classes are first compared with two of them, and those that this doesn't settle with all, block by
+block; such pairs never become rows.
 """
 
 from __future__ import annotations
@@ -21,211 +27,231 @@ from .common import forget, free_names, keep
 
 GAPS = r"[ \t\n\x0B\f\r]+"
 SHINGLE = 5
-#: Classes that hold a token from which on it goes last in the order.
-FREQUENT_FROM = 48
-#: Classes of a token from which on its pairs are verified inside the join.
-CROWDED_FROM = 64
+#: log2 of the number of counters behind the order of tokens, whatever the size of the input.
+BUCKET_BITS = 14
+#: Shared prefix tokens asked of a pair of long lines.
+DEPTH = 3
+#: Lines with at least so many copies, and how many of them at most, are known to all tasks (about 40 bytes each).
+HOT_FROM, MOST_HOT = 1000, 10_000
+#: Classes of a token from which on it is crowded, and classes of a block.
+CROWDED_FROM, BLOCK = 64, 1024
 #: Lines asked for up to which their numbers are sent to all executors (about 60 bytes each) rather than texts shuffled.
 BROADCAST_ROWS = 500_000
 
-_ALL = "sort_array(array_distinct(transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i+1], h[i+2], h[i+3], h[i+4]))))"
-_SMALL = 2**23 - 1
-_PLACES = 2**16 - 1
+#: A token: leading bits of its first word's key, by which it is ordered, and 40 bits of the hash of all its words.
+_LOW = 2**40 - 1
+_TOKEN = f"({{first}} & ~{_LOW}L) | shiftrightunsigned(xxhash64({{first}}, get({{k}}, {{i}}+1), get({{k}}, {{i}}+2), get({{k}}, {{i}}+3), get({{k}}, {{i}}+4)), 24)"
+#: Two parities of hashed tokens; tokens are well mixed in their low bits.
+_PARITY = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(shiftrightunsigned(t, {at}) & 63 as int)))"
 
 
-def _words(line: Column) -> Column:
-    """Hashes of a line's words. Splitting at single blanks is much cheaper than by pattern; other gaps are rare."""
-    odd = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
-    parts = F.when(odd, F.split(line, GAPS)).otherwise(F.split(line, " "))
-    return F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(w))
+def _words(line: Column, odd: Column) -> Column:
+    """A line's words. Splitting at single blanks is much cheaper than by pattern; other gaps are rare."""
+    return F.array_remove(F.when(odd, F.split(line, GAPS)).otherwise(F.split(line, " ")), "")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, dh, line_no, h): the word hashes of each line."""
-    # what is selected beside explode() is computed for each of its rows: a text's hash comes before
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("dh"))
-    # the outer form: for the other one a filter on the array is inferred, which computes it a second time
-    lines = texts.select("doc_id", "dh", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line is not null")
-    return lines.select("doc_id", "dh", "line_no", _words(F.col("line")).alias("h"))
-
-
-def _prefix(percent: int) -> Column:
-    """The first tokens of a line with a lower bound of their place in the order, from its word hashes h (five at
-    least) and firsts, the sorted distinct ones that begin a shingle: as many lowest values of firsts as the prefix
-    asks bring at least as many tokens, and as many tokens lie before one as there are lower values."""
-    last = f"element_at(firsts, least(size(firsts), (size(h) - 4) - cast(ceil((size(h) - 4) * {percent} / 100) as int) + 1))"
-    places = f"transform(array({last}), last -> filter(sequence(0, size(h) - 5), i -> h[i] <= last))[0]"
-    return F.expr(f"transform({places}, i -> struct(xxhash64(h[i], h[i+1], h[i+2], h[i+3], h[i+4]) as token, cast(array_position(firsts, h[i]) as int) - 1 as place))")
+def _odd(text: Column) -> Column:
+    return text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
-    """Word hashes of wanted lines (doc_id, dh, line_no, more)."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, dh, line_no, line, odd, cid) for each line; cid is one hash for all lines with the same words."""
+    # what is selected beside explode() is computed for each of its rows: a text's columns come before
+    texts = docs.select("doc_id", F.xxhash64("text").alias("dh"), _odd(F.col("text")).alias("odd"), "text")
+    # the outer form: for the other one a filter on the array is inferred, which computes it a second time
+    lines = texts.select("doc_id", "dh", "odd", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line is not null")
+    line = F.col("line")
+    loose = F.col("odd") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    plain = F.when(loose, F.array_join(_words(line, F.col("odd")), " ")).otherwise(line)
+    return lines.select("doc_id", "dh", "line_no", "line", "odd", F.xxhash64(plain).alias("cid"))
+
+
+def _hashed(lines: DataFrame, *columns: str) -> DataFrame:
+    """columns, and the word hashes h of each line."""
+    words = lines.select(*columns, _words(F.col("line"), F.col("odd")).alias("w"))
+    return words.select(*columns, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+
+
+def _order(docs: DataFrame) -> Column:
+    """For each bucket what turns a word hash's leading bits into the rank of its bucket, rarest first."""
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).cast("int").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    known = {r["bucket"]: r["n"] for r in counts.collect()}  # 2^BUCKET_BITS rows at most
+    turn = [0] * (1 << BUCKET_BITS)
+    for rank, bucket in enumerate(sorted(range(1 << BUCKET_BITS), key=lambda b: (known.get(b, 0), b))):
+        turn[bucket] = bucket ^ rank ^ (1 << (BUCKET_BITS - 1))  # longs are signed: the rank's top bit is turned
+    return F.split(F.lit(",".join(map(str, turn))), ",").cast("array<bigint>")
+
+
+def _keys(lines: DataFrame, turn: Column, *columns: str) -> DataFrame:
+    """columns, and the keys k of each line's words: hashes whose leading bits are the rank of their bucket."""
+    key = lambda h: h.bitwiseXOR(F.shiftleft(turn[F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")], 64 - BUCKET_BITS))
+    return _hashed(lines, *columns).select(*columns, F.transform("h", key).alias("k"))
+
+
+def _prefixes(lines: DataFrame, turn: Column, percent: int, depth: int) -> DataFrame:
+    """(token, cid, need) of each line's prefix; need: shared ones that a similar line must have."""
+    firsts = F.when(F.size("k") >= SHINGLE, F.sort_array(F.array_distinct(F.slice("k", F.lit(1), F.size("k") - (SHINGLE - 1)))))
+    cut = _keys(lines, turn, "cid").select("cid", "k", F.size("k").alias("m"), firsts.alias("firsts"))
+    # as many lowest first words as the prefix asks bring at least as many tokens
+    most = F.col("m") - (SHINGLE - 1)
+    want = F.least(F.size("firsts"), most - F.ceil(most * percent / 100).cast("int") + depth)
+    cut = cut.select("cid", "k", "m", F.expr("firsts")[want - 1].alias("last"), F.least(F.lit(depth), F.ceil(F.size("firsts") * percent / 100)).cast("int").alias("need"))
+    rows = cut.select("cid", "k", "m", "last", "need", F.posexplode_outer("k").alias("i", "own"))
+    # coalesce: from a plain comparison a filter is inferred that computes the keys a second time
+    rows = rows.where(f"coalesce(own <= (last | {_LOW}) and i <= m - {SHINGLE}, false)")
+    return rows.select(F.coalesce(F.expr(_TOKEN.format(first="own", k="k", i="i")), F.lit(0).cast("long")).alias("token"), "cid", "need")
+
+
+def _fetch(docs: DataFrame, wanted: DataFrame, turn: Column) -> DataFrame:
+    """(cid, tokens) of wanted lines (doc_id, dh, line_no, cid): the distinct ones in their order."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    asked = wanted.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("line_no", *more)).alias("asked"))
-    side = F.broadcast(asked) if few else asked.hint("shuffle_hash")
-    found = docs.withColumn("dh", F.xxhash64("text")).join(side, ["doc_id", "dh"]).select(F.split("text", "\n").alias("lines"), "asked")
-    each = F.transform("asked", lambda a: F.struct(F.element_at("lines", a["line_no"] + 1).alias("line"), *[a[m].alias(m) for m in more]))
-    lines = found.select(F.explode_outer(each).alias("a"))
-    return lines.select(_words(F.col("a.line")).alias("h"), *[F.col(f"a.{m}").alias(m) for m in more])
+    asked = wanted.groupBy(F.col("doc_id").alias("id"), F.col("dh").alias("ah")).agg(F.collect_list(F.struct("line_no", "cid")).alias("asked"))
+    side = F.broadcast(asked) if few else asked
+    texts = docs.withColumn("dh", F.xxhash64("text"))
+    found = texts.join(side, (texts["dh"] == side["ah"]) & texts["doc_id"].eqNullSafe(side["id"])).select(_odd(F.col("text")).alias("odd"), F.split("text", "\n").alias("lines"), "asked")
+    each = F.transform("asked", lambda a: F.struct(F.element_at("lines", a["line_no"] + 1).alias("line"), a["cid"].alias("cid")))
+    lines = found.select("odd", F.explode_outer(each).alias("a")).select("a.line", "a.cid", "odd")
+    shingles = f"transform(slice(k, 1, size(k) - {SHINGLE - 1}), (x, i) -> {_TOKEN.format(first='x', k='k', i='i')})"
+    return _keys(lines, turn, "cid").select("cid", F.expr(f"sort_array(array_distinct({shingles}))").alias("tokens")).dropDuplicates(["cid"])
+
+
+def _near(x: str, y: str, percent: int, *sets: str) -> Column:
+    """What every pair that reaches the threshold fulfils at the first token that it shares."""
+    c = lambda s, name: F.col(f"{s}.{name}")
+    total = c(x, "n") + c(y, "n")
+    out = (F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & (F.least(c(x, "n") - c(x, "place"), c(y, "n") - c(y, "place")) * (100 + percent) >= total * percent)
+    for parity in sets:
+        out = out & (F.bit_count(c(x, parity).bitwiseXOR(c(y, parity))) * (100 + percent) <= total * (100 - percent))
+    return out
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = SHINGLE, frequent_from: int = FREQUENT_FROM) -> DataFrame:
-    """(doc_id, dh, n_lines, removed) for each distinct text with its doc_id: removed has line numbers from 0, in order.
-
-    dh is the text's 64-bit hash. Lines are cut at line feeds; those with fewer than min_words words stay.
-    Null texts have no row; an empty text has one line without words. Rows that repeat a doc_id with its text are
-    read as one; another text under the same doc_id is a document of its own.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    least = max(SHINGLE, min_words)
-    all_lines = _lines(docs)
-    long_ = F.size("h") >= least
-    lines = all_lines.select(
-        "doc_id", "dh", "line_no", F.when(F.size("h") >= min_words, F.xxhash64("h")).alias("cid"),
-        F.when(long_, F.least(F.size("h") - 4, F.lit(_SMALL))).alias("most"), F.when(long_, F.sort_array(F.array_distinct(F.slice("h", 1, F.size("h") - 4)))).alias("firsts"), "h",
-    )
-    lines = lines.select("doc_id", "dh", "line_no", "cid", "most", F.when(long_, F.size("firsts")).alias("fewest"), F.when(long_, _prefix(percent)).alias("prefix"))
-    lines = keep(lines)
-    order = F.struct("doc_id", "dh", "line_no")
-    first = keep(lines.where("cid is not null").groupBy("cid").agg(F.min(order).alias("at")))
-
-    sides = ["token", "cid", "most", "fewest", "place"]
-    # one number holds both lengths and the place, where a lower place only lets more pairs pass
-    packed = F.expr(f"shiftleft(cast(most as bigint), 40) + shiftleft(cast(least(fewest, {_SMALL}) as bigint), 16) + least(p.place, {_PLACES})")
-    rows = lines.where("prefix is not null").select(F.explode("prefix").alias("p"), "cid", "most", "fewest").select("p.token", "cid", packed.alias("pk"))
-    rows = rows.repartition(F.col("token")).selectExpr("*", "min(cid) over (partition by token) as lo", "max(cid) over (partition by token) as hi")
-    rows = rows.where("lo <> hi").select("token", "cid", "pk").distinct()
-    unpacked = [F.expr("cast(shiftright(pk, 40) as int) as most"), F.expr(f"cast(shiftright(pk, 16) & {2**24 - 1} as int) as fewest"), F.expr(f"cast(pk & {_PLACES} as int) as place")]
-    spread = keep(rows.select("token", "cid", *unpacked))
-
-    spread = _frequent_last(docs, lines, spread, first, percent, frequent_from)
-    placed = keep(spread.join(first, "cid").select(*sides, "at"))
-    spread_used = spread
-
-    def near(x: str, y: str) -> Column:
-        """What no pair that reaches the threshold fails: bounds of lengths, and of the tokens from here on."""
-        top = lambda s: F.when(F.col(f"{s}.most") >= _SMALL, F.lit(2**50)).otherwise(F.col(f"{s}.most").cast("long"))
-        sizes = (top(x) * 100 >= F.col(f"{y}.fewest") * percent) & (top(y) * 100 >= F.col(f"{x}.fewest") * percent)
-        rest = F.least(top(x) - F.col(f"{x}.place"), top(y) - F.col(f"{y}.place"))
-        return sizes & (rest * (100 + percent) >= percent * (F.col(f"{x}.fewest") + F.col(f"{y}.fewest")))
+def _alike(x: Column, y: Column, percent: int) -> Column:
+    inter = F.size(F.array_intersect(x, y))
+    return (F.size(x) + F.size(y) - inter) * percent <= inter * 100
+
+
+def _similar(docs: DataFrame, first: DataFrame, hot: DataFrame, percent: int, depth: int, crowded_from: int, block: int) -> DataFrame:
+    """cid of each class that is similar to an earlier one."""
+    turn = _order(docs)
+    lines = _lines(docs)
+    own = F.struct("doc_id", "dh", "line_no")
+    # of a line with very many copies only the first gives tokens
+    lines = lines.join(F.broadcast(hot.select("cid", "at")), "cid", "left").where(F.col("at").isNull() | F.col("at").eqNullSafe(own)).select("cid", "line", "odd")
+    rows = _prefixes(lines, turn, percent, depth).repartition(F.col("token"))
+    # tokens of one class only can't be shared; both sides read one exchange, so both must need all its columns
+    several = rows.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("need").alias("least")).where("lo <> hi and least >= 0").select("token")
+    shared = rows.join(several.hint("shuffle_hash"), "token").distinct()
+    # a class needs enough shared tokens
+    able = shared.groupBy("cid").agg(F.count("*").alias("shares"), F.max("need").alias("need")).where("shares >= need").select("cid")
+    able = keep(able.join(first.select("cid", "at"), "cid"))
+    sets = _fetch(docs, able.select("at.doc_id", "at.dh", "at.line_no", "cid"), turn).join(able, "cid")
+    parity = lambda at: F.expr(_PARITY.format(at=at))
+    sets = keep(sets.select("cid", "at", F.size("tokens").alias("n"), "tokens").select("*", parity(0).alias("p0"), parity(6).alias("p1")))
+    cut = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + depth)
+    placed = sets.select("cid", "at", "n", "p0", "p1", F.posexplode(cut).alias("place", "token"))
+    placed = keep(placed)
+    sizes = placed.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
+    crowded = keep(sizes.where(F.col("classes") >= crowded_from))
+    parities = ("p0", "p1")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Classes with an earlier similar one among pairs (a later, b earlier)."""
-        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(first, "cid")
-        sets = _fetch(docs, ends.select("at.doc_id", "at.dh", "at.line_no", "cid"), "cid").select("cid", F.expr(_ALL).alias("tokens"))
-        sets = keep(sets)
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
-        both = both.withColumn("n", F.size("ta") + F.size("tb")).withColumn("inter", F.size(F.array_intersect("ta", "tb")))
-        return keep(both.where((F.col("n") - F.col("inter")) * percent <= F.col("inter") * 100).select(F.col("a").alias("cid")).distinct())
-
-    # of each token's classes of about one length two stand for the others: the earliest one, and the one with the token
-    # first in its order, which among near copies of a line is the one without changes
-    like = "partition by token, floor(log(fewest) * 8)"
-    heads = placed.selectExpr("struct(*) as x", f"min(struct(at, cid, most, fewest, place)) over ({like}) as y", f"min(struct(place, at, cid, most, fewest)) over ({like}) as z")
+        return both.where(_alike(F.col("ta"), F.col("tb"), percent)).select(F.col("a").alias("cid")).distinct()
+
+    # of each crowded token's classes of about one length two stand for the others: the earliest one, and the one with the
+    # token first in its order, which among near copies of a line is the one without changes
+    many = placed.join(F.broadcast(crowded.select("token")) if crowded.count() <= BROADCAST_ROWS else crowded.select("token"), "token", "left_semi").withColumn("wide", F.floor(F.log("n") * 8))
+    many = keep(many)
+    info = ["at", "cid", "n", "place", *parities]
+    heads = many.groupBy("token", "wide").agg(F.min(F.struct(*info)).alias("y"), F.min(F.struct("place", *[c for c in info if c != "place"])).alias("z"))
+    led = many.select("token", "wide", F.struct(*info).alias("x")).join(heads, ["token", "wide"])
     pairs = None
     for head in ("y", "z"):
-        own = heads.where((F.col("x.cid") != F.col(f"{head}.cid")) & (F.col(f"{head}.at") < F.col("x.at"))).where(near("x", head)).select(F.col("x.cid").alias("a"), F.col(f"{head}.cid").alias("b"))
-        pairs = own if pairs is None else pairs.unionByName(own)
-    pairs = keep(pairs.distinct())
-    gone = verified(pairs)
-    # tokens that many classes still share: pairs are verified where they are joined, and never become rows
-    crowded = keep(placed.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= CROWDED_FROM).select("token"))
-    found = None
-    if not crowded.isEmpty():
-        many = keep(placed.join(crowded, "token", "left_semi"))
-        ends = many.select("cid").distinct().join(first, "cid")
-        sets = keep(_fetch(docs, ends.select("at.doc_id", "at.dh", "at.line_no", "cid"), "cid").select("cid", F.expr(_ALL).alias("tokens")))
-        left = many.join(gone, "cid", "left_anti").join(sets, "cid").alias("x")
-        inter = F.size(F.array_intersect("x.tokens", "y.tokens"))
-        alike = (F.size("x.tokens") + F.size("y.tokens") - inter) * percent <= inter * 100
-        on = (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at")) & near("x", "y") & alike
-        found = keep(left.join(many.join(sets, "cid").alias("y"), on, "left_semi").select("x.cid").distinct())
-        gone = keep(gone.unionByName(found))
-    few = placed.join(crowded, "token", "left_anti")
-    open_ = few.join(gone, "cid", "left_anti").alias("x")
-    more = open_.join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at"))).where(near("x", "y"))
-    more = more.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = keep(more)
-    also = verified(more)
-    similar = gone.unionByName(also).withColumn("similar", F.lit(True))
-
-    verdict = first.join(similar, "cid", "left").select("cid", "at", F.coalesce("similar", F.lit(False)).alias("similar"))
-    told = lines.select("doc_id", "dh", "line_no", "cid").join(verdict, "cid", "left")
-    drop = F.col("similar") | (F.col("at") != order)
-    out = told.groupBy("doc_id", "dh").agg(
-        (F.max("line_no") + 1).cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("cid").isNotNull() & drop, F.col("line_no")))).alias("removed")
-    )
-    out = keep(out)
-    for used in (lines, first, spread_used, placed, pairs, gone, more, also):
+        one = led.where(F.col(f"{head}.at") < F.col("x.at")).where(_near("x", head, percent, *parities)).select(F.col("x.cid").alias("a"), F.col(f"{head}.cid").alias("b"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    gone = keep(verified(pairs.distinct()))
+
+    # the other tokens: pairs that share enough of them
+    few = placed.join(sizes.where(F.col("classes") < crowded_from).select("token"), "token", "left_semi")
+    x, y = few.join(gone, "cid", "left_anti").alias("x"), few.alias("y")
+    meet = x.join(y, "token").where((F.col("y.at") < F.col("x.at")) & _near("x", "y", percent, *parities)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    more = keep(verified(meet).unionByName(gone).distinct())
+
+    # classes of crowded tokens that are still open, block by block
+    left = many.join(more, "cid", "left_anti")
+    dealt = crowded.select("token", F.ceil(F.col("classes") / block).cast("int").alias("blocks"))
+    mine = lambda: F.pmod(F.xxhash64("cid", "token"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tokens = sets.select("cid", "tokens")
+    x = left.join(dealt, "token").withColumn("i", mine()).withColumn("j", every).join(tokens, "cid").alias("x")
+    # only blocks of tokens that an open class has
+    y = many.join(left.select("token").distinct().join(dealt, "token"), "token").withColumn("j", mine()).withColumn("i", every).join(tokens, "cid").alias("y")
+    keys = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    on = keys & (F.col("y.at") < F.col("x.at")) & _near("x", "y", percent, *parities) & _alike(F.col("x.tokens"), F.col("y.tokens"), percent)
+    last = x.join(y, on, "left_semi").select("cid")
+    out = keep(more.unionByName(last).distinct())
+    for used in (able, sets, placed, crowded, many, gone, more):
         forget(used)
     return out
 
 
-def _frequent_last(docs: DataFrame, lines: DataFrame, spread: DataFrame, first: DataFrame, percent: int, frequent_from: int) -> DataFrame:
-    """spread with frequent tokens behind all others in the order: lines that have some in their prefix get another one.
+def removed_lines(docs: DataFrame, percent: int = 80, depth: int = DEPTH, crowded_from: int = CROWDED_FROM, block: int = BLOCK) -> DataFrame:
+    """(doc_id, dh, removed) for each distinct text with its doc_id that loses lines: their numbers from 0, in order.
 
-    A token goes last if enough classes have it in their prefix, or if enough of the lines concerned have it anywhere
-    and it is in no other line's prefix: so the other lines' prefixes are the same in the new order.
+    dh is the text's 64-bit hash. Lines are cut at line feeds; those without words stay, those of one to four words go
+    if an equal line comes before. Null and empty texts lose nothing; an empty table gives no rows. Rows that repeat a doc_id
+    with its text are read as one; another text under the same doc_id is a document of its own, and so are rows
+    without id, which come first. Other columns are ignored. Word runs and lines are told apart by 64-bit hashes.
     """
-    often = keep(spread.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= frequent_from).select("token"))
-    if often.isEmpty():
-        return spread
-    touched = keep(spread.join(often, "token").select("cid").distinct())
-    asked = touched.join(first, "cid").select("at.doc_id", "at.dh", "at.line_no", "cid")
-    held = _fetch(docs, asked, "cid").select("cid", F.size(F.expr(_ALL)).alias("n"), F.sort_array(F.array_distinct(F.slice("h", 1, F.size("h") - 4))).alias("firsts"), "h")
-    # the lowest tokens, about twice as many as a prefix has, mostly hold enough infrequent ones
-    held = keep(held.withColumn("want", F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1).withColumn("upto", F.least(F.size("firsts"), F.col("want") * 2 + 8)))
-    pairs = "transform(filter(sequence(0, size(h) - 5), i -> h[i] <= last), i -> struct(h[i] as first, xxhash64(h[i], h[i+1], h[i+2], h[i+3], h[i+4]) as token))"
-
-    def tokens(rows: DataFrame, last: Column) -> DataFrame:
-        t = rows.withColumn("last", last).select("cid", "n", "want", (F.col("last") == F.element_at("firsts", -1)).alias("all"), F.explode_outer(F.expr(pairs)).alias("t"))
-        return t.select("cid", "n", "want", "all", "t.first", "t.token")
-
-    low = tokens(held, F.expr("element_at(firsts, upto)"))
-    many = keep(low.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= frequent_from).select("token").unionByName(often).distinct())
-    others = lines.where("prefix is not null").join(touched, "cid", "left_anti").select(F.explode(F.expr("transform(prefix, p -> p.token)")).alias("token"))
-    late = keep(many.join(others.join(many, "token", "left_semi").distinct(), "token", "left_anti").withColumn("late", F.lit(1)))
-
-    def prefixes(rows: DataFrame) -> DataFrame:
-        """Tokens in the new order with their places; enough: the infrequent ones fill the prefix, or all tokens are here."""
-        known = rows.join(late, "token", "left").withColumn("late", F.coalesce("late", F.lit(0)))
-        ranked = known.selectExpr("*", "dense_rank() over (partition by cid order by late, first, token) - 1 as place")
-        ranked = ranked.selectExpr("*", "max(if(late = 0, place + 1, 0)) over (partition by cid) as rare")
-        return ranked.where("place < want").select("token", "cid", "n", "place", (F.col("all") | (F.col("rare") >= F.col("want"))).alias("enough"))
-
-    ready = keep(prefixes(low))
-    short = held.join(ready.where("not enough").select("cid").distinct(), "cid", "left_semi")
-    again = ready.where("enough").unionByName(prefixes(tokens(short, F.element_at("firsts", -1)))).distinct()
-    # the exact number of tokens bounds the length from both sides
-    again = again.select("token", "cid", F.least("n", F.lit(_SMALL)).alias("most"), F.least("n", F.lit(_SMALL)).alias("fewest"), F.col("place").cast("int").alias("place"))
-    out = keep(spread.join(touched, "cid", "left_anti").select(*again.columns).unionByName(again).distinct())
-    for used in (often, touched, held, many, late, ready, spread):
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lines = keep(_lines(docs).select("doc_id", "dh", "line_no", "cid"))
+    wordy = lines.where(F.col("cid") != F.xxhash64(F.lit("")))
+    own = F.struct("doc_id", "dh", "line_no")
+    first = keep(wordy.groupBy("cid").agg(F.min(own).alias("at"), F.count("*").alias("copies")))
+    hot = keep(first.where(F.col("copies") >= HOT_FROM).orderBy(F.desc("copies"), "cid").limit(MOST_HOT))
+    similar = _similar(docs, first, hot, percent, depth, crowded_from, block)
+
+    # only classes with copies or with an earlier similar one lose lines; very frequent ones are told by all tasks
+    verdict = first.join(similar.withColumn("similar", F.lit(True)), "cid", "left").where("copies > 1 or similar").select("cid", "at", F.coalesce("similar", F.lit(False)).alias("similar"))
+    often = hot.select("cid").join(verdict, "cid")
+    drop = F.col("similar") | ~F.col("at").eqNullSafe(own)
+    told = wordy.join(F.broadcast(often), "cid").where(drop).select("doc_id", "dh", "line_no")
+    rest = wordy.join(F.broadcast(hot.select("cid")), "cid", "left_anti").join(verdict, "cid").where(drop).select("doc_id", "dh", "line_no")
+    out = keep(told.unionByName(rest).groupBy("doc_id", "dh").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
+    for used in (lines, first, hot, similar):
         forget(used)
     return out
 
 
-def line_report(docs: DataFrame, percent: int = 80, min_words: int = SHINGLE) -> DataFrame:
+def line_report(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) for each row of docs (doc_id, text; other columns are ignored).
 
-    removed lists line numbers from 0, joined by commas. Null texts have no lines.
+    removed lists line numbers from 0, joined by commas. Null texts have no lines, an empty text has one; an empty
+    table gives no rows.
     """
-    found = removed_lines(docs, percent, min_words)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dh"), F.col("text").isNull().alias("none"))
-    out = rows.join(found, ["doc_id", "dh"], "left")
-    n = F.when(F.col("none"), F.lit(0)).otherwise(F.coalesce("n_lines", F.lit(0))).cast("long")
+    found = removed_lines(docs, percent).select(F.col("doc_id").alias("id"), F.col("dh").alias("fh"), "removed")
+    n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dh"), n.alias("n_lines"))
+    out = rows.join(found, (F.col("dh") == F.col("fh")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return out.select(
-        "doc_id", n.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"),
     )
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = SHINGLE) -> DataFrame:
-    """docs with the kept lines of each text; n_chars follows, where there is such a column. No row is dropped."""
+def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with the kept lines of each text; n_chars follows, where there is such a column. No row is dropped.
+
+    Null and empty texts stay as they are; a text that loses all its lines is empty. An empty table stays empty.
+    """
     key, digest, gone = free_names(docs, "_id", "_dh", "_removed")
-    found = removed_lines(docs, percent, min_words).where(F.size("removed") > 0).select(F.col("doc_id").alias(key), F.col("dh").alias(digest), F.col("removed").alias(gone))
-    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(digest)), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i)), "\n")
-    out = joined.withColumn("text", F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text")))
+    found = removed_lines(docs, percent).select(F.col("doc_id").alias(key), F.col("dh").alias(digest), F.col("removed").alias(gone))
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)), "left")
+    lines = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    out = joined.withColumn("text", F.when(F.col(gone).isNotNull(), F.array_join(F.transform(kept, lambda i: lines[i]), "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -46,7 +46,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"), percent=80, min_words=5)
+    return line_report(table(spark, sf_dir, "documents"), percent=80)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,9 @@ c AS (SELECT n, min(c) AS component_id FROM r GROUP BY n)
 SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN c ON c.n = e.vec_id"""
 
 _OP6 = f"""WITH l AS (SELECT doc_id, i - 1 AS line_no, regexp_extract_all(x[i], {_WORDS}) AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-k AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS c FROM l WHERE len(w) >= 5),
+k AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS c FROM l WHERE len(w) >= 1),
 f AS (SELECT c, any_value(w) AS w, min([doc_id, line_no]) AS spot FROM k GROUP BY c),
-s AS (SELECT DISTINCT c, spot, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT c, spot, w, unnest(range(1, len(w) - 3)) AS i FROM f)),
+s AS (SELECT DISTINCT c, spot, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT c, spot, w, unnest(range(1, len(w) - 3)) AS i FROM f WHERE len(w) >= 5)),
 n AS (SELECT c, count(*) AS n FROM s GROUP BY c),
 q AS (SELECT a.c AS a, b.c AS b, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND b.spot < a.spot GROUP BY a.c, b.c),
 g AS (SELECT DISTINCT a AS c FROM q JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE 100 * m >= 80 * (x.n + y.n - m)),

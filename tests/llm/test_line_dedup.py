@@ -7,18 +7,18 @@ from mirrorsift.llm.line_dedup import dedup_lines, line_report, removed_lines
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, min_words=5):
+def brute(rows):
     seen, want, where, sets = {}, {}, defaultdict(list), []
     for i, text in sorted(rows):
         out = []
         for k, line in enumerate(text.split("\n")):
             words = tuple(WORD.findall(line))
-            if len(words) < min_words:
+            if not words:
                 continue
             if words in seen:
                 out.append(k)
                 continue
-            own = frozenset(words[a : a + 5] for a in range(len(words) - 4))
+            own = frozenset(words[a : a + 5] for a in range(len(words) - 4)) or frozenset([words])
             shared = Counter(o for x in own for o in where[x])
             if any(100 * n >= 80 * (len(own) + len(sets[o]) - n) for o, n in shared.items()):
                 out.append(k)
@@ -46,13 +46,41 @@ def test_against_all_pairs(spark):
         rows.append((i, "\n".join(lines)))
     want = brute(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    for frequent in (40, 3):
-        assert {r["doc_id"]: r["removed"] for r in removed_lines(docs, frequent_from=frequent).collect()} == want
+    want_some = {i: x for i, x in want.items() if x}
+    for crowded, block, depth in ((64, 1024, 3), (2, 3, 1), (4, 16, 3)):
+        assert {r["doc_id"]: r["removed"] for r in removed_lines(docs, depth=depth, crowded_from=crowded, block=block).collect()} == want_some
     kept = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
     for i, text in rows:
         assert kept[i] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[i])
 
 
+def test_rows_without_id_and_very_frequent_lines(spark):
+    line = " ".join(f"w{k}" for k in range(60))
+    near = line.replace("w20", "other")
+    hot = [(i, "one two\nmine %d" % i) for i in range(1, 1300)]
+    docs = spark.createDataFrame([(None, line + "\nfirst"), (-5, near), (1300, line), (1301, "one  two ")] + hot, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["removed"] for r in removed_lines(docs).collect()}
+    assert got == {-5: [0], 1300: [0], 1301: [0], **{i: [0] for i in range(2, 1300)}}
+    texts = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
+    assert texts[None] == line + "\nfirst" and texts[-5] == "" and texts[1] == "one two\nmine 1" and texts[7] == "mine 7"
+
+
+def test_near_copies_that_share_a_frequent_passage(spark):
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}x{k}" for k in range(rng.choice([0, 2, 5, 30]))]
+        words = own + passage
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = f"c{i}"
+        rows.append((i, " ".join(words)))
+    want = {i: x for i, x in brute(rows).items() if x}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for crowded, block in ((64, 1024), (8, 20)):
+        assert {r["doc_id"]: r["removed"] for r in removed_lines(docs, crowded_from=crowded, block=block).collect()} == want
+
+
 def test_odd_rows(odd, none):
     out = {r["doc_id"]: r for r in line_report(odd).collect()}
     assert line_report(odd).count() == odd.count()
