@@ -41,8 +41,8 @@ BROADCAST_ROWS = 500_000
 #: A token: leading bits of its first word's key, by which it is ordered, and 40 bits of the hash of all its words.
 _LOW = 2**40 - 1
 _TOKEN = f"({{first}} & ~{_LOW}L) | shiftrightunsigned(xxhash64({{first}}, get({{k}}, {{i}}+1), get({{k}}, {{i}}+2), get({{k}}, {{i}}+3), get({{k}}, {{i}}+4)), 24)"
-#: Two parities of hashed tokens; tokens are well mixed in their low bits.
-_PARITY = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(shiftrightunsigned(t, {at}) & 63 as int)))"
+#: For each of 64 values of the tokens' low bits, which are well mixed, whether an odd number of tokens has it.
+_PARITY = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 as int)))"
 
 
 def _words(line: Column, odd: Column) -> Column:
@@ -66,12 +66,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "dh", "line_no", "line", "odd", F.xxhash64(plain).alias("cid"))
 
 
-def _hashed(lines: DataFrame, *columns: str) -> DataFrame:
-    """columns, and the word hashes h of each line."""
-    words = lines.select(*columns, _words(F.col("line"), F.col("odd")).alias("w"))
-    return words.select(*columns, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-
-
 def _order(docs: DataFrame) -> Column:
     """For each bucket what turns a word hash's leading bits into the rank of its bucket, rarest first."""
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
@@ -79,14 +73,17 @@ def _order(docs: DataFrame) -> Column:
     known = {r["bucket"]: r["n"] for r in counts.collect()}  # 2^BUCKET_BITS rows at most
     turn = [0] * (1 << BUCKET_BITS)
     for rank, bucket in enumerate(sorted(range(1 << BUCKET_BITS), key=lambda b: (known.get(b, 0), b))):
-        turn[bucket] = bucket ^ rank ^ (1 << (BUCKET_BITS - 1))  # longs are signed: the rank's top bit is turned
+        bits = bucket ^ rank ^ (1 << (BUCKET_BITS - 1))  # longs are signed: the rank's top bit is turned
+        turn[bucket] = (bits - (bits >> (BUCKET_BITS - 1) << BUCKET_BITS)) << (64 - BUCKET_BITS)
     return F.split(F.lit(",".join(map(str, turn))), ",").cast("array<bigint>")
 
 
 def _keys(lines: DataFrame, turn: Column, *columns: str) -> DataFrame:
     """columns, and the keys k of each line's words: hashes whose leading bits are the rank of their bucket."""
-    key = lambda h: h.bitwiseXOR(F.shiftleft(turn[F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")], 64 - BUCKET_BITS))
-    return _hashed(lines, *columns).select(*columns, F.transform("h", key).alias("k"))
+    words = lines.select(*columns, _words(F.col("line"), F.col("odd")).alias("w"))
+    # hashing a word twice costs less than a second pass over the array
+    key = lambda w: F.xxhash64(w).bitwiseXOR(turn[F.shiftrightunsigned(F.xxhash64(w), 64 - BUCKET_BITS)])
+    return words.select(*columns, F.transform("w", key).alias("k"))
 
 
 def _prefixes(lines: DataFrame, turn: Column, percent: int, depth: int) -> DataFrame:
@@ -104,26 +101,24 @@ def _prefixes(lines: DataFrame, turn: Column, percent: int, depth: int) -> DataF
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, turn: Column) -> DataFrame:
-    """(cid, tokens) of wanted lines (doc_id, dh, line_no, cid): the distinct ones in their order."""
+    """(cid, at, tokens) of wanted classes (cid, at): the distinct tokens in their order."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    asked = wanted.groupBy(F.col("doc_id").alias("id"), F.col("dh").alias("ah")).agg(F.collect_list(F.struct("line_no", "cid")).alias("asked"))
+    asked = wanted.groupBy(F.col("at.doc_id").alias("id"), F.col("at.dh").alias("ah")).agg(F.collect_list(F.struct("cid", "at")).alias("asked"))
     side = F.broadcast(asked) if few else asked
     texts = docs.withColumn("dh", F.xxhash64("text"))
     found = texts.join(side, (texts["dh"] == side["ah"]) & texts["doc_id"].eqNullSafe(side["id"])).select(_odd(F.col("text")).alias("odd"), F.split("text", "\n").alias("lines"), "asked")
-    each = F.transform("asked", lambda a: F.struct(F.element_at("lines", a["line_no"] + 1).alias("line"), a["cid"].alias("cid")))
-    lines = found.select("odd", F.explode_outer(each).alias("a")).select("a.line", "a.cid", "odd")
+    each = F.transform("asked", lambda a: F.struct(F.element_at("lines", a["at"]["line_no"] + 1).alias("line"), a["cid"].alias("cid"), a["at"].alias("at")))
+    lines = found.select("odd", F.explode_outer(each).alias("a")).select("a.line", "a.cid", "a.at", "odd")
     shingles = f"transform(slice(k, 1, size(k) - {SHINGLE - 1}), (x, i) -> {_TOKEN.format(first='x', k='k', i='i')})"
-    return _keys(lines, turn, "cid").select("cid", F.expr(f"sort_array(array_distinct({shingles}))").alias("tokens")).dropDuplicates(["cid"])
+    return _keys(lines, turn, "cid", "at").select("cid", "at", F.expr(f"sort_array(array_distinct({shingles}))").alias("tokens"))
 
 
-def _near(x: str, y: str, percent: int, *sets: str) -> Column:
+def _near(x: str, y: str, percent: int) -> Column:
     """What every pair that reaches the threshold fulfils at the first token that it shares."""
     c = lambda s, name: F.col(f"{s}.{name}")
     total = c(x, "n") + c(y, "n")
     out = (F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & (F.least(c(x, "n") - c(x, "place"), c(y, "n") - c(y, "place")) * (100 + percent) >= total * percent)
-    for parity in sets:
-        out = out & (F.bit_count(c(x, parity).bitwiseXOR(c(y, parity))) * (100 + percent) <= total * (100 - percent))
-    return out
+    return out & (F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity"))) * (100 + percent) <= total * (100 - percent))
 
 
 def _alike(x: Column, y: Column, percent: int) -> Column:
@@ -145,15 +140,15 @@ def _similar(docs: DataFrame, first: DataFrame, hot: DataFrame, percent: int, de
     # a class needs enough shared tokens
     able = shared.groupBy("cid").agg(F.count("*").alias("shares"), F.max("need").alias("need")).where("shares >= need").select("cid")
     able = keep(able.join(first.select("cid", "at"), "cid"))
-    sets = _fetch(docs, able.select("at.doc_id", "at.dh", "at.line_no", "cid"), turn).join(able, "cid")
-    parity = lambda at: F.expr(_PARITY.format(at=at))
-    sets = keep(sets.select("cid", "at", F.size("tokens").alias("n"), "tokens").select("*", parity(0).alias("p0"), parity(6).alias("p1")))
+    sets = keep(_fetch(docs, able, turn).select("*", F.size("tokens").alias("n"), F.expr(_PARITY).alias("parity")))
+    if sets.count() > able.count():  # rows that repeat a document give its lines again
+        again, sets = sets, keep(sets.dropDuplicates(["cid"]))
+        forget(again)
     cut = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + depth)
-    placed = sets.select("cid", "at", "n", "p0", "p1", F.posexplode(cut).alias("place", "token"))
-    placed = keep(placed)
-    sizes = placed.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
+    sizes = keep(sets.select(F.explode(cut).alias("token")).groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1"))
+    placed = sets.select("cid", "at", "n", "parity", F.posexplode(cut).alias("place", "token"))
+    placed = keep(placed.join(sizes, "token"))
     crowded = keep(sizes.where(F.col("classes") >= crowded_from))
-    parities = ("p0", "p1")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Classes with an earlier similar one among pairs (a later, b earlier)."""
@@ -162,21 +157,20 @@ def _similar(docs: DataFrame, first: DataFrame, hot: DataFrame, percent: int, de
 
     # of each crowded token's classes of about one length two stand for the others: the earliest one, and the one with the
     # token first in its order, which among near copies of a line is the one without changes
-    many = placed.join(F.broadcast(crowded.select("token")) if crowded.count() <= BROADCAST_ROWS else crowded.select("token"), "token", "left_semi").withColumn("wide", F.floor(F.log("n") * 8))
-    many = keep(many)
-    info = ["at", "cid", "n", "place", *parities]
+    many = keep(placed.where(F.col("classes") >= crowded_from).drop("classes").withColumn("wide", F.floor(F.log("n") * 8)))
+    info = ["at", "cid", "n", "place", "parity"]
     heads = many.groupBy("token", "wide").agg(F.min(F.struct(*info)).alias("y"), F.min(F.struct("place", *[c for c in info if c != "place"])).alias("z"))
     led = many.select("token", "wide", F.struct(*info).alias("x")).join(heads, ["token", "wide"])
     pairs = None
     for head in ("y", "z"):
-        one = led.where(F.col(f"{head}.at") < F.col("x.at")).where(_near("x", head, percent, *parities)).select(F.col("x.cid").alias("a"), F.col(f"{head}.cid").alias("b"))
+        one = led.where(F.col(f"{head}.at") < F.col("x.at")).where(_near("x", head, percent)).select(F.col("x.cid").alias("a"), F.col(f"{head}.cid").alias("b"))
         pairs = one if pairs is None else pairs.unionByName(one)
     gone = keep(verified(pairs.distinct()))
 
     # the other tokens: pairs that share enough of them
-    few = placed.join(sizes.where(F.col("classes") < crowded_from).select("token"), "token", "left_semi")
+    few = placed.where(F.col("classes") < crowded_from).drop("classes")
     x, y = few.join(gone, "cid", "left_anti").alias("x"), few.alias("y")
-    meet = x.join(y, "token").where((F.col("y.at") < F.col("x.at")) & _near("x", "y", percent, *parities)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    meet = x.join(y, "token").where((F.col("y.at") < F.col("x.at")) & _near("x", "y", percent)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     more = keep(verified(meet).unionByName(gone).distinct())
 
     # classes of crowded tokens that are still open, block by block
@@ -189,10 +183,10 @@ def _similar(docs: DataFrame, first: DataFrame, hot: DataFrame, percent: int, de
     # only blocks of tokens that an open class has
     y = many.join(left.select("token").distinct().join(dealt, "token"), "token").withColumn("j", mine()).withColumn("i", every).join(tokens, "cid").alias("y")
     keys = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    on = keys & (F.col("y.at") < F.col("x.at")) & _near("x", "y", percent, *parities) & _alike(F.col("x.tokens"), F.col("y.tokens"), percent)
+    on = keys & (F.col("y.at") < F.col("x.at")) & _near("x", "y", percent) & _alike(F.col("x.tokens"), F.col("y.tokens"), percent)
     last = x.join(y, on, "left_semi").select("cid")
     out = keep(more.unionByName(last).distinct())
-    for used in (able, sets, placed, crowded, many, gone, more):
+    for used in (able, sets, sizes, placed, crowded, many, gone, more):
         forget(used)
     return out
 
