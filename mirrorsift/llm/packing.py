@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import forget, keep, slices
 
 CAPACITY = 4096
-#: Chunks whose ids a worker remembers; beyond that it starts anew.
-MOST_WORDS = 300_000
+#: Chunks whose ids a worker remembers, and characters of them; beyond that it starts anew.
+MOST_WORDS, MOST_CHARS = 300_000, 6_000_000
+#: Characters of a chunk from which on it isn't remembered.
+LONG_CHUNK = 256
 
 
 class Encoder:
@@ -47,6 +49,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.memory: dict[str, bytes] = {"": b""}
+        self.held = 0  # characters of what is remembered
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
         steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -71,7 +74,10 @@ class Encoder:
         found = self.memory.get(piece)
         if found is None:
             text = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
-            found = self.memory[piece] = self.pack([t.id for t in self.model.tokenize(text)])
+            found = self.pack([t.id for t in self.model.tokenize(text)])
+            if len(piece) <= LONG_CHUNK:
+                self.memory[piece] = found
+                self.held += len(piece)
         return found
 
     def learn(self, chunks: set[str]) -> None:
@@ -95,12 +101,18 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.memory) > MOST_WORDS:
-            self.memory = {"": b""}
+        if len(self.memory) > MOST_WORDS or self.held > MOST_CHARS:
+            self.memory, self.held = {"": b""}, 0
         memory = self.memory
         new = {c for own in chunks for c in own if c not in memory}
         self.learn(new)
-        return [b"".join([memory[c] for c in own]) for own in chunks]
+        out = [b"".join([memory[c] for c in own]) for own in chunks]
+        for c in new:
+            if len(c) > LONG_CHUNK:
+                del memory[c]
+            else:
+                self.held += len(c)
+        return out
 
 
 def _encoder(path: str) -> Encoder:
@@ -132,30 +144,40 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 
 class _Stock:
-    """How many pieces of each length are left, with the sums of one, two and three of them."""
+    """How many pieces of each length are left, and an index from sums to the lengths that make them.
+
+    Single sums are the counts themselves. Pair sums are a table sorted by sum, largest first length first, with the place
+    of each sum's first entry; entries whose pieces are used up are passed by. A triple sum is found as a
+    length and the pair sum that completes it. The table has at most capacity^2 / 4 entries, whatever the number of pieces.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, np.int64)
         for length, count in counts.items():
             self.left[length] += count
+        lengths = np.flatnonzero(self.left)
+        firsts, seconds = [], []
+        for a in lengths[::-1]:
+            some = lengths[(lengths <= a) & (lengths <= capacity - a)]
+            firsts.append(np.full(len(some), a, np.int32))
+            seconds.append(some.astype(np.int32))
+        first, second = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (firsts, seconds))
+        order = np.argsort(first + second, kind="stable")
+        self.first, self.second = first[order], second[order]
+        self.begin = np.searchsorted((first + second)[order], np.arange(capacity + 2))
+        self.end = self.begin[1:].copy()
 
     def single(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if self.left[gap] else None
 
     def pair(self, gap: int, most: int | None = None) -> tuple[int, ...] | None:
-        """The two lengths with the largest first one that sum to gap."""
-        top = min(gap - 1, most or gap - 1)
-        low = (gap + 1) // 2
-        if top < low:
-            return None
-        first = self.left[low : top + 1]
-        second = self.left[gap - top : gap - low + 1][::-1]
-        fits = np.flatnonzero((first > 0) & (second > 0))
-        for k in fits[::-1]:
-            a, b = low + int(k), gap - low - int(k)
-            if a != b or self.left[a] > 1:
-                return a, b
-        return None
+        """The two lengths with the largest first one (up to most) that sum to gap."""
+        first, second = self.first[self.begin[gap] : self.end[gap]], self.second[self.begin[gap] : self.end[gap]]
+        able = (self.left[first] > 0) & (self.left[second] > 0) & ((first != second) | (self.left[first] > 1))
+        if most is not None:
+            able &= first <= most
+        at = int(able.argmax()) if len(able) else 0
+        return (int(first[at]), int(second[at])) if len(able) and able[at] else None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
         for a in np.flatnonzero(self.left[1 : gap - 1])[::-1] + 1:
@@ -181,11 +203,29 @@ class _Stock:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths, each with the number of sequences that have it; all pieces are placed."""
+    """Patterns of lengths, each with the number of sequences that have it; all pieces are placed.
+
+    Exact fillings are consumed longest piece first. Filling exactly may spend the short pieces that later gaps need: so
+    the plan with the fewest sequences wins among those that stop filling exactly at some length and place
+    the rest by best fit; one of them is best fit alone.
+    """
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best = None
+    for stop in (0, capacity // 3, capacity // 2, 3 * capacity // 4, capacity):
+        found = _filled(counts, capacity, stop)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) <= least:
+            break
+    return best
+
+
+def _filled(counts: dict[int, int], capacity: int, stop: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact fillings of gaps beside pieces longer than stop, then best fit."""
     stock = _Stock(counts, capacity)
     out: list[tuple[tuple[int, ...], int]] = []
     rest: dict[int, int] = {}
-    for length in range(capacity, 0, -1):
+    for length in range(capacity, stop, -1):
         while stock.left[length]:
             gap = capacity - length
             if not gap:
@@ -199,6 +239,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
                 stock.left[length] = 0
                 break
             out.append(((length, *filling), stock.take((length, *filling))))
+    rest.update({int(length): int(stock.left[length]) for length in np.flatnonzero(stock.left)})
     return out + _best_fit(rest, capacity)
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from mirrorsift.llm import packing
 from mirrorsift.llm.packing import Encoder, pack_documents, plan
 from mirrorsift.llm.queries import tokenizer_file
 from tokenizers import Tokenizer
@@ -71,3 +72,29 @@ def test_chunks_are_encoded_like_whole_texts():
     whole = Tokenizer.from_file(tokenizer_file())
     got = Encoder(tokenizer_file()).encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_plan_takes_no_more_sequences_than_best_fit():
+    rng = np.random.default_rng(4)
+    kinds = (rng.integers(1, 1025, 20_000), rng.integers(75, 451, 20_000), np.clip(rng.lognormal(4, 1, 20_000).astype(int), 1, 1024), rng.integers(250, 1025, 300))
+    for lengths, slack in zip(kinds, (1.005, 1.01, 1.001, 1.2), strict=True):
+        counts = dict(Counter(lengths.tolist()))
+        found = packing.plan(counts, 1024)
+        used = Counter()
+        for pattern, times in found:
+            assert sum(pattern) <= 1024
+            for length in pattern:
+                used[length] += times
+        bins = sum(n for _, n in found)
+        assert used == counts and bins <= sum(n for _, n in packing._best_fit(counts, 1024)) and bins <= slack * -(-int(lengths.sum()) // 1024)
+
+
+def test_worker_memory_is_bounded_by_characters(monkeypatch):
+    path = tokenizer_file()
+    own, whole = packing.Encoder(path), packing.Encoder(path).whole
+    monkeypatch.setattr(packing, "MOST_CHARS", 2_000)
+    texts = ["longword" * 400, "short words here", "x" * 1000 + " tail"] + [f"some{k}word other{k}thing" for k in range(300)]
+    for at in range(0, len(texts), 10):
+        some = texts[at : at + 10]
+        assert own.encode(some) == [packing.Encoder.pack(whole.encode(t, add_special_tokens=False).ids) for t in some]
+        assert own.held <= 2_000 + 10 * 2 * 40 and max(map(len, own.memory)) <= packing.LONG_CHUNK
