@@ -5,6 +5,7 @@ Every scan is linear in the text: a long run of letters or digits is looked at a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -115,13 +116,25 @@ def _score(text: str, kind: str, begin: int, end: int, confirmed: bool) -> float
     return PATTERN_SCORE + CHECKSUM_SCORE * confirmed + CONTEXT_SCORE * bool(words.intersection(CONTEXT[kind]))
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, in order; those that overlap are one."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and b < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((b, e))
+    return out
+
+
 def added_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int, float]]]:
     """Spans of the added kinds, with scores; those that meet a span found before are left out."""
-    taken = sorted(s for own in base for s in own)
+    taken = _joined([s for own in base for s in own])
     out: list[list[tuple[int, int, float]]] = []
 
     def free(begin: int, end: int) -> bool:
-        return not any(b < end and begin < e for b, e in taken)
+        at = bisect.bisect_left(taken, (end, 0))  # the last stretch that begins before end
+        return not at or taken[at - 1][1] <= begin
 
     for kind, pattern in (("iban", _IBAN), ("social", _SOCIAL), ("short_card", _CARD), ("local_phone", _NUMBER)):
         own: list[tuple[int, int, float]] = []
@@ -153,7 +166,7 @@ def added_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple
             if score >= LEAST_SCORE and free(begin, end):
                 own.append((begin, end, score))
         out.append(own)
-        taken += [(b, e) for b, e, _ in own]
+        taken = _joined(taken + [(b, e) for b, e, _ in own])
     return out
 
 
