@@ -67,7 +67,7 @@ def choose_exponent(shares: list[float] | DataFrame, total: int, budget: int | N
     if fine(0.0):
         high = 0.0
     else:
-        for _ in range(50 if not isinstance(shares, DataFrame) else 24):
+        for _ in range(50):
             mid = (low + high) / 2
             low, high = (low, mid) if fine(mid) else (mid, high)
     norm, entropy, own, _ = state(high)

@@ -1,7 +1,7 @@
 """Sharding: minimax contiguous partition of groups of equal texts, with DataFrame functions only.
 
 Groups are ordered by their texts' 64-bit hash. The smallest feasible shard capacity is found by binary
-search with greedy checks. The driver never sees groups but cells: hash ranges with the sum of their sizes, at
+search with greedy checks; under it the cuts go where shards come out about even. The driver never sees groups but cells: hash ranges with the sum of their sizes, at
 first 2^16 of equal width. A cell that the decision depends on is cut into 2^12 smaller ones by another query,
 until every such cell holds one group; so the result is that over single groups, while the number of
 cells on the driver stays bounded.
@@ -9,7 +9,7 @@ cells on the driver stays bounded.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -58,6 +58,27 @@ def minimax(sizes: list[int], shards: int, least: int = 0) -> int:
     return low
 
 
+def even_ends(sums: list[int], capacity: int, shards: int) -> list[int]:
+    """Where shards end if each stays within capacity and ends as near as it can to an equal part of what is left.
+
+    capacity must be feasible. The earliest end of a shard is the one from which the later shards still hold the rest.
+    """
+    earliest = [len(sums) - 1]
+    for _ in range(shards - 1):
+        earliest.append(bisect_left(sums, sums[earliest[-1]] - capacity))
+    ends, at = [], 0
+    for k, low in enumerate(reversed(earliest)):
+        high = bisect_right(sums, sums[at] + capacity, lo=at) - 1
+        goal = sums[at] + (sums[-1] - sums[at]) / (shards - k)
+        near = bisect_left(sums, goal, lo=at)
+        near = min(near, len(sums) - 1)
+        if near - 1 > at and goal - sums[near - 1] <= sums[near] - goal:
+            near -= 1
+        at = max(min(near, high), low, at)
+        ends.append(at)
+    return ends
+
+
 def _open_cells(cells: list[Cell], shards: int, least: int) -> tuple[int, list[int], list[Cell]]:
     """Capacity over whole cells, its ends, and the cells of several groups that a smaller capacity could cut."""
     sizes = [c.size for c in cells]
@@ -109,6 +130,10 @@ def partition_groups(groups: DataFrame, shards: int, most_open: int = 64) -> tup
         finer = _cells_of(groups, min(64, widest + MORE_BITS), cut)
         gone = set(cut)
         cells = sorted([c for c in cells if c not in gone] + finer, key=lambda c: c.begin)
+    sums = [0]
+    for c in cells:
+        sums.append(sums[-1] + c.size)
+    ends = even_ends(sums, capacity, shards)
     return capacity, [cells[e].begin if e < len(cells) else 2**64 for e in ends[:-1]]
 
 
@@ -116,7 +141,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs (doc_id, text).
 
     size: UTF-8 bytes of the text (null: none) plus 1. Law "bytes": the largest shard is as small as contiguous
-    runs of whole groups in hash order allow. Rows with equal texts are one group and share a shard (null and
+    runs of whole groups in hash order allow, and within that the shards are about even. Rows with equal texts are one group and share a shard (null and
     empty texts as well); texts that share a 64-bit hash count as one group. slot numbers a shard's rows from 0.
     grown_shard is null under this law. Other columns are ignored; an empty table gives no rows.
     """

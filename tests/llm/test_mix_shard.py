@@ -80,6 +80,27 @@ def test_minimax_against_all_cuts():
         assert sharding.minimax(sizes, shards) == least_largest(sizes, shards)
 
 
+def test_even_cuts_stay_within_the_capacity():
+    rng = random.Random(2)
+    for _ in range(300):
+        sizes = [rng.choice([1, 5, rng.randint(1, 60)]) for _ in range(rng.randint(1, 40))]
+        shards = rng.randint(1, 8)
+        sums = [0]
+        for s in sizes:
+            sums.append(sums[-1] + s)
+        capacity = sharding.minimax(sizes, shards)
+        ends = sharding.even_ends(sums, capacity, shards)
+        parts = [sums[b] - sums[a] for a, b in zip([0, *ends], ends)]
+        assert ends[-1] == len(sizes) and max(parts) == capacity and min(parts) >= 0
+    sizes = [1] * 50 + [60] + [1] * 50
+    sums = [0]
+    for s in sizes:
+        sums.append(sums[-1] + s)
+    ends = sharding.even_ends(sums, 60, 8)
+    parts = [sums[b] - sums[a] for a, b in zip([0, *ends], ends)]
+    assert max(parts) == 60 and min(parts) >= 6
+
+
 def test_shards(spark, odd, none):
     rng = random.Random(6)
     rows = [(i, "x" * rng.randint(0, 200) + str(rng.randint(0, 40) if i % 3 else 0)) for i in range(900)] + [(900 + k, "hot text") for k in range(500)]
