@@ -78,24 +78,24 @@ class Index:
         self.c1, self.c2 = _kmeans(sample[:, : self.half], codewords), _kmeans(sample[:, self.half :], codewords)
         self.visits, self.recall = len(self.c1) * len(self.c2), 1.0
         cells = self.cell(sample)
-        # visits: the least number that finds the target share of the sample's links
-        ranks = []
+        # visits: the least number that finds the target share of the sample's links; a probe's links weigh as much as one
+        # over their number, so that a large group counts no more than a small one
+        ranks, weights = [], []
         for at in range(0, min(len(sample), PROBES), 500):
             q = sample[at : at + 500]
-            hits = np.argwhere(q @ sample.T >= cosine)
-            hits = hits[hits[:, 0] + at != hits[:, 1]]
-            walks = {}
-            for a, b in hits[:200_000]:
-                if cells[b] == cells[at + a]:
-                    ranks.append(0)
-                    continue
-                if a not in walks:
-                    walks[a] = {c: r for r, c in enumerate(self.walk(q[a : a + 1])[0])}
-                ranks.append(walks[a].get(int(cells[b]), self.visits))
+            near = q @ sample.T >= cosine
+            near[np.arange(len(q)), at + np.arange(len(q))] = False
+            for a in np.flatnonzero(near.any(1)):
+                homes, times = np.unique(cells[near[a]], return_counts=True)
+                walk = {c: r for r, c in enumerate(self.walk(q[a : a + 1])[0])}
+                ranks += [0 if c == cells[at + a] else walk.get(int(c), self.visits) for c in homes]
+                weights += (times / (times.sum() * (times.sum() + 1))).tolist()
         if ranks:
-            ranks = np.sort(ranks)
-            self.visits = int(max(8, 2 * (ranks[min(len(ranks) - 1, int(np.ceil(target_recall * len(ranks))) - 1)] + 1)))
-            self.recall = float((ranks < self.visits).mean())
+            order = np.argsort(ranks, kind="stable")
+            ranks, weights = np.array(ranks)[order], np.array(weights)[order]
+            found = np.cumsum(weights) / weights.sum()
+            self.visits = int(max(8, 2 * (ranks[min(len(ranks) - 1, int(np.searchsorted(found, target_recall)))] + 1)))
+            self.recall = float(weights[ranks < self.visits].sum() / weights.sum())
 
     def parts(self) -> dict:
         return dict(self.__dict__)
