@@ -32,7 +32,7 @@ FREQUENT_FROM = 12
 #: Members of a group that one task compares with one another; larger groups are compared block by block.
 BLOCK = 1024
 
-_SCAN = "kind int, doc_id long, n long, token long, docs long, rare long, low long"
+_SCAN = "kind int, doc_id long, n long, token long, docs long, dh long"
 
 
 def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -83,8 +83,8 @@ def _scan(shingle: int):
             k = len(sets)
             nothing = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * k, pa.int32()), ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), nothing, nothing, nothing],
-                names=["kind", "doc_id", "n", "token", "docs", "rare", "low"],
+                [pa.array([0] * k, pa.int32()), ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), nothing, batch.column("dh")],
+                names=["kind", "doc_id", "n", "token", "docs", "dh"],
             )
         if held:
             counted = fold(counted)
@@ -94,8 +94,8 @@ def _scan(shingle: int):
             k = len(some)
             nothing = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * k, pa.int32()), nothing, nothing, pa.array(_long(some)), pa.array(total[at : at + 100_000]), nothing, nothing],
-                names=["kind", "doc_id", "n", "token", "docs", "rare", "low"],
+                [pa.array([1] * k, pa.int32()), nothing, nothing, pa.array(_long(some)), pa.array(total[at : at + 100_000]), nothing],
+                names=["kind", "doc_id", "n", "token", "docs", "dh"],
             )
 
     return run
@@ -215,17 +215,19 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 8
     several rows is in all its rows' components. class_id is a 64-bit hash of the set (0: empty). An empty
     table gives no rows.
     """
+    if not 1 <= depth <= 7:
+        raise ValueError(f"depth must be between 1 and 7, got {depth}")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("dh"))
     scan = keep(docs.mapInArrow(_scan(shingle), _SCAN))
-    rows = scan.where("kind = 0").select("doc_id", "n", F.col("token").alias("class"))
+    rows = scan.where("kind = 0").select("doc_id", "n", F.col("token").alias("class"), "dh")
     often = (
         scan.where("kind = 1").groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= FREQUENT_FROM).orderBy(F.desc("docs"), "token").limit(MOST_FREQUENT)
     )
     tokens = np.sort(np.array([r[0] for r in often.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast(tokens)
 
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dh")).alias("rep"))
     signed = docs.mapInArrow(_sign(shingle, percent, depth, frequent), "token long, class long, grp long, code long")
     # tokens of one class only can't be shared: a window over the one exchange by token drops them
     spread = signed.repartition(F.col("token")).selectExpr("*", "min(class) over (partition by token) as lo", "max(class) over (partition by token) as hi")
@@ -242,10 +244,11 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 8
     visits = keep(visits.join(sizes, "grp").select("class", "grp", "size", "leader"))
 
     def with_tokens(rows: DataFrame) -> DataFrame:
-        """Rows with a class, each with the class's token set, read from the text of the class's first document."""
-        placed = rows.join(classes.select("class", F.col("first").alias("doc_id")), "class")
-        columns = [c for c in placed.columns if c != "doc_id"]
-        texts = docs.join(placed.hint("shuffle_hash"), "doc_id").select(*columns, "text")
+        """Rows with a class, each with the class's token set, read from the text of one of the class's documents."""
+        placed = rows.join(classes.select("class", F.col("rep.doc_id").alias("rid"), F.col("rep.dh").alias("rh")), "class")
+        columns = [c for c in placed.columns if c not in ("rid", "rh")]
+        # a class may have rows without id only: the text's hash finds those
+        texts = docs.join(placed.hint("shuffle_hash"), (docs["dh"] == placed["rh"]) & docs["doc_id"].eqNullSafe(placed["rid"])).select(*columns, "text")
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select(*columns).schema)
         return texts.mapInArrow(_sets(shingle, columns), f"{kinds}, tokens binary")
 

@@ -71,3 +71,13 @@ def test_odd_rows(spark, odd, none):
     assert ngram_jaccard_components(odd).count() == odd.count()
     assert ngram_jaccard_components(none).count() == 0
     assert ngram_jaccard_components(odd.where(F.col("doc_id") == 4)).count() == 1
+
+
+def test_classes_of_rows_without_id_connect_others(spark):
+    base = [f"w{k}" for k in range(100)]
+    a, c = list(base), list(base)
+    a[10], c[60] = "x", "y"  # each is near base, but not near the other one
+    a[30], c[80] = "x2", "y2"
+    docs = spark.createDataFrame([(1, " ".join(a)), (None, " ".join(base)), (2, " ".join(c)), (3, "far away from all of them")], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_components(docs).collect()}
+    assert out == {1: 1, None: 1, 2: 1, 3: 3}
