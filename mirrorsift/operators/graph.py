@@ -122,18 +122,50 @@ def clusters(groups: DataFrame, members: DataFrame) -> DataFrame:
     return out.join(first, "cluster_id").select("cluster_id", "file_id", trust_name(F.col("rank")).alias("trust"), trust_name(F.col("top")).alias("representative"), "first_member")
 
 
-def cluster_summary(cl: DataFrame, files: DataFrame) -> DataFrame:
-    """(cluster_id, representative, members, total_bytes, reclaimable_bytes); the largest is kept."""
-    j = cl.select("cluster_id", "representative", "file_id").join(files.select(F.col("id").alias("file_id"), "size_bytes"), "file_id")
-    return j.groupBy("cluster_id", "representative").agg(F.count("*").alias("members"), F.sum("size_bytes").alias("total_bytes"), (F.sum("size_bytes") - F.max("size_bytes")).alias("reclaimable_bytes"))
+def cluster_groups(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster_id, group_id) of the groups that clusters() merges into each cluster."""
+    t = materialize(transitive_members(groups, members))
+    head = t.groupBy("root").agg(F.min("group_id").alias("cluster_id"))
+    merged = t.select("root", "group_id").distinct().join(head, "root").select("cluster_id", "group_id")
+    m = _named(groups, members)
+    p = m.where("rank = 1 and not non_transitive").join(t.select("file_id", "root").distinct(), "file_id", "left")
+    per = p.groupBy("group_id").agg(F.countDistinct("root").alias("roots"), F.min("root").alias("root"), F.sort_array(F.collect_set(F.when(F.col("root").isNull(), F.col("file_id")))).alias("ends"))
+    cards = per.where("roots = 1 and size(ends) > 0").selectExpr("min(group_id) over (partition by ends, root) as cluster_id", "group_id")
+    alone = per.where("roots <> 1").select("group_id").unionByName(m.where("non_transitive").select("group_id").distinct())
+    return merged.unionByName(cards).unionByName(alone.select(F.col("group_id").alias("cluster_id"), "group_id"))
+
+
+def cluster_best(cl: DataFrame, of_groups: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cluster_id, best_file_id): the best copy stored with the smallest group of the cluster's own trust that has one."""
+    own = cl.select("cluster_id", F.col("representative").alias("trust")).distinct()
+    g = of_groups.join(groups.where("best_file_id is not null").select("group_id", "trust", "best_file_id"), "group_id").join(own, ["cluster_id", "trust"])
+    return g.groupBy("cluster_id").agg(F.min_by("best_file_id", "group_id").alias("best_file_id"))
+
+
+def cluster_summary(cl: DataFrame, best: DataFrame, files: DataFrame) -> DataFrame:
+    """(cluster_id, representative, members, total_bytes, reclaimable_bytes); the best copy is kept, the largest where no member is the best."""
+    j = cl.select("cluster_id", "representative", "file_id").join(files.select(F.col("id").alias("file_id"), "size_bytes"), "file_id").join(best, "cluster_id", "left")
+    kept = F.coalesce(F.max(F.when(F.col("file_id") == F.col("best_file_id"), F.col("size_bytes"))), F.max("size_bytes"))
+    return j.groupBy("cluster_id", "representative").agg(F.count("*").alias("members"), F.sum("size_bytes").alias("total_bytes"), F.greatest(F.sum("size_bytes") - kept, F.lit(0)).alias("reclaimable_bytes"))
+
+
+def prewarm(cl: DataFrame, best: DataFrame, files: DataFrame, most: int = 4) -> DataFrame:
+    """(cluster_id, file_id, place) of each cluster's first hashed members: the best copy, then by pixels, size and id."""
+    px = F.coalesce(F.col("width_px").cast("long") * F.col("height_px"), F.lit(0))
+    f = files.where("content_hash is not null").select(F.col("id").alias("file_id"), px.alias("px"), "size_bytes")
+    j = cl.select("cluster_id", "file_id").join(f, "file_id").join(best, "cluster_id", "left").withColumn("best", F.coalesce(F.col("file_id") == F.col("best_file_id"), F.lit(False)))
+    return j.selectExpr("cluster_id", "file_id", "row_number() over (partition by cluster_id order by best desc, px desc, size_bytes desc, file_id) as place").where(F.col("place") <= most)
 
 
-def cluster_report(cl: DataFrame) -> DataFrame:
-    """One row: clusters by trust, the largest, and how many mix trust levels."""
-    per = cl.groupBy("cluster_id", "representative").agg(F.count("*").alias("n"), F.countDistinct("trust").alias("levels"))
+def cluster_report(cl: DataFrame, of_groups: DataFrame) -> DataFrame:
+    """One row: clusters by trust, all members, the largest, how many mix trust levels, and how many merge several groups."""
+    per = cl.groupBy("cluster_id", "representative").agg(F.count("*").alias("n"), F.countDistinct("trust").alias("levels")).join(of_groups.groupBy("cluster_id").agg(F.count("*").alias("groups")), "cluster_id", "left")
     one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     r = F.col("representative")
-    return per.agg(F.count("*").alias("clusters"), one(r == "EXACT").alias("exact"), one(r == "VERY_LIKELY").alias("very_likely"), one(r == "POSSIBLE").alias("possible"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), one(F.col("levels") > 1).alias("cross_trust"))
+    return per.agg(
+        F.count("*").alias("clusters"), one(r == "EXACT").alias("exact"), one(r == "VERY_LIKELY").alias("very_likely"), one(r == "POSSIBLE").alias("possible"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
+        one(F.col("levels") > 1).alias("cross_trust"), F.coalesce(F.sum("n"), F.lit(0)).alias("members_total"), one(F.col("groups") > 1).alias("multi_group"),
+    )
 
 
 def without_members(members: DataFrame, gone: DataFrame) -> DataFrame:

@@ -51,10 +51,15 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(F.max_by("state", "seq").alias("state"))
 
 
-def failed_tasks(tasks: DataFrame, most: int) -> DataFrame:
-    """(path, id, attempts, reason): failed tasks by path with attempts summed and the last reason, newest first, cut at 2000 characters."""
-    f = tasks.where("state = 'FAILED'").groupBy("path").agg(F.max("id").alias("id"), F.sum("attempts").alias("attempts"), F.max_by("last_error", "id").alias("reason"))
-    return f.withColumn("reason", F.substring("reason", 1, 2_000)).orderBy(F.desc("id")).limit(most)
+def failed_tasks(tasks: DataFrame, hashed_paths: DataFrame, most: int) -> DataFrame:
+    """(path, id, attempts, reason): failed tasks of priority 0 and above by path, but for paths (path) of active hashed files.
+
+    Attempts are summed, the last task's reason counts ("task failed" without one); newest first, reasons cut at 2000 characters.
+    """
+    f = tasks.where("state = 'FAILED' and priority >= 0 and path is not null").join(hashed_paths.select("path").distinct(), "path", "left_anti")
+    reason = F.coalesce("last_error", F.lit("task failed"))
+    g = f.groupBy("path").agg(F.max("id").alias("id"), F.sum(F.greatest("attempts", F.lit(0))).alias("attempts"), F.max_by(F.struct(reason.alias("reason")), "id").alias("last"))
+    return g.select("path", "id", "attempts", F.substring("last.reason", 1, 2_000).alias("reason")).orderBy(F.desc("id")).limit(most)
 
 
 def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:

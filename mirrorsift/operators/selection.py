@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mirrorsift.sources.store import materialize
+
 # File name extensions of video containers, and folder names that are never listed.
 VIDEO_EXTENSIONS = ("mp4", "mkv", "m4v", "mov", "avi", "webm", "ts", "m2ts", "mts", "flv", "wmv", "mpg", "mpeg", "ogv", "3gp")
 EXCLUDED_DIRS = ("$recycle.bin", "system volume information", "$winreagent", "$windows.~bt", "$windows.~ws", "recovery", "config.msi", "node_modules")
@@ -69,20 +71,24 @@ def valid_markers(fingerprints: DataFrame, files: DataFrame) -> DataFrame:
     return m.select("file_id", "skip_reason", ((F.col("skip_reason") == "exact-full-dup") | same).alias("holds"))
 
 
-# Parts of messages that mark a failure as passing, by kind.
-TRANSIENT = {"busy": ("database is locked", "busy"), "missing": ("no such file", "not found"), "timeout": ("timed out", "timeout")}
+# Parts of messages that mark a failure as passing, and failed attempts from which on any other is permanent.
+TRANSIENT_PARTS = (
+    "timed out after",
+    "base-index decode gate at capacity (concurrent base decodes in flight)",
+    "sequential-read gate at capacity (concurrent full-file reads in flight)",
+    "partial-clip decode gate at capacity (concurrent partials in flight)",
+    "resource busy or locked",
+    "is locked",
+)
+PERMANENT_FROM = 1
 
 
-def failure_class(message: Column) -> Column:
-    """busy, missing or timeout for failures that may pass, else permanent; null for no message."""
-    low = F.lower(message)
-    out = F.lit("permanent")
-    for kind, parts in reversed(TRANSIENT.items()):
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | low.contains(p)
-        out = F.when(hit, kind).otherwise(out)
-    return F.when(message.isNotNull(), out)
+def failure_class(message: Column, attempts: Column) -> Column:
+    """transient for failures that may pass or that weren't tried again yet, else permanent; null for no message."""
+    passing = F.lit(False)
+    for part in TRANSIENT_PARTS:
+        passing = passing | message.contains(part)
+    return F.when(message.isNotNull(), F.when(passing | (attempts < PERMANENT_FROM), "transient").otherwise("permanent"))
 
 
 def staleness(targets: DataFrame, listing: DataFrame) -> DataFrame:
@@ -119,7 +125,8 @@ def resume_after(listing: DataFrame, sentinel: str) -> DataFrame:
 
 def scan_progress(listing: DataFrame, parts: int = 64) -> DataFrame:
     """(path, files_seen, bytes_seen): running counts in path order, summed part by part so that no task sees all rows."""
-    ordered = listing.repartitionByRange(parts, "path").withColumn("part", F.spark_partition_id())
+    # kept: both uses need the same bounds of parts
+    ordered = materialize(listing.select("path", "size_bytes").repartitionByRange(parts, "path").withColumn("part", F.spark_partition_id()))
     sums = ordered.groupBy("part").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
     before = Window.orderBy("part")
     starts = sums.select("part", (F.sum("n").over(before) - F.col("n")).alias("n0"), (F.sum("b").over(before) - F.col("b")).alias("b0"))

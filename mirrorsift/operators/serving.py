@@ -94,6 +94,11 @@ def overlap_fractions(start: Column, end: Column, duration: Column) -> tuple[Col
     return F.when(fine, a).otherwise(F.lit(0.0)), F.when(fine, F.greatest(a, b)).otherwise(F.lit(0.0))
 
 
-def timeline_mode(trust: Column, shorter: Column, longer: Column) -> Column:
-    """timeline for possible clips whose lengths differ, else none."""
-    return F.when((trust == "POSSIBLE") & (F.coalesce(F.try_divide(shorter, longer), F.lit(0.0)) < 0.9), "timeline").otherwise("none")
+# Fixed value: from this ratio of lengths on a clip without overlaps is taken for the whole file.
+WHOLE_FILE_RATIO = 0.9
+
+
+def timeline_mode(trust: Column, has_overlaps: Column, shorter: Column, longer: Column) -> Column:
+    """hidden but for POSSIBLE groups; partial with overlaps; else full-span with its notice, by the ratio of lengths."""
+    whole = F.coalesce(F.try_divide(shorter, longer), F.lit(0.0)) >= WHOLE_FILE_RATIO
+    return F.when(F.coalesce(trust != "POSSIBLE", F.lit(True)), "hidden").when(has_overlaps, "partial").when(whole, "full-span:whole-file-est").otherwise("full-span:missing-overlap")

@@ -20,6 +20,14 @@ ids AS (SELECT group_id, min(group_id) OVER (PARTITION BY ends, root) AS cluster
 ot AS (SELECT DISTINCT cluster_id, file_id, CASE trust WHEN 'EXACT' THEN 3 WHEN 'VERY_LIKELY' THEN 2 ELSE 1 END AS rank FROM members JOIN ids USING (group_id)),
 al AS (SELECT cluster_id, file_id, rank, top FROM mg UNION ALL SELECT cluster_id, file_id, rank, rank FROM ot),
 cl AS (SELECT cluster_id, file_id, CASE rank WHEN 3 THEN 'EXACT' WHEN 2 THEN 'VERY_LIKELY' ELSE 'POSSIBLE' END AS trust, CASE top WHEN 3 THEN 'EXACT' WHEN 2 THEN 'VERY_LIKELY' ELSE 'POSSIBLE' END AS representative, min(file_id) OVER (PARTITION BY cluster_id) AS first_member FROM al)"""
+_BEST = _CL + """,
+gi AS (SELECT DISTINCT cluster_id, group_id FROM tm JOIN cc USING (file_id) JOIN hd USING (root) UNION SELECT cluster_id, group_id FROM ids),
+bs AS (SELECT cluster_id, arg_min(best_file_id, group_id) AS best FROM gi JOIN groups USING (group_id) JOIN (SELECT DISTINCT cluster_id, representative FROM cl) USING (cluster_id) WHERE trust = representative AND best_file_id IS NOT NULL GROUP BY cluster_id)"""
+
+
+def _best(t):
+    c, of_groups = G.clusters(t.groups, t.members), G.cluster_groups(t.groups, t.members)
+    return c, G.cluster_best(c, of_groups, t.groups)
 
 
 @query("gr_transitive_components", "SELECT file_id, root FROM cc", _TOP)
@@ -32,15 +40,23 @@ def _(t):
     return G.clusters(t.groups, t.members)
 
 
-@query("gr_cluster_stats", "SELECT cluster_id, representative, count(*) AS members, sum(size_bytes)::BIGINT AS total_bytes, (sum(size_bytes) - max(size_bytes))::BIGINT AS reclaimable_bytes FROM cl JOIN files ON id = file_id GROUP BY ALL", _CL)
+@query("gr_cluster_best", "SELECT cluster_id, best AS best_file_id FROM bs", _BEST)
+def _(t):
+    return _best(t)[1]
+
+
+@query("gr_cluster_stats", """SELECT cluster_id, representative, count(*) AS members, sum(size_bytes)::BIGINT AS total_bytes,
+ greatest(sum(size_bytes) - coalesce(max(size_bytes) FILTER (WHERE file_id = best), max(size_bytes)), 0)::BIGINT AS reclaimable_bytes FROM cl JOIN files ON id = file_id LEFT JOIN bs USING (cluster_id) GROUP BY cluster_id, representative""", _BEST)
 def _(t):
-    return G.cluster_summary(G.clusters(t.groups, t.members), t.files)
+    c, best = _best(t)
+    return G.cluster_summary(c, best, t.files)
 
 
 @query("gr_cluster_report", """SELECT count(*) AS clusters, count(*) FILTER (WHERE representative = 'EXACT') AS exact, count(*) FILTER (WHERE representative = 'VERY_LIKELY') AS very_likely, count(*) FILTER (WHERE representative = 'POSSIBLE') AS possible,
- coalesce(max(n), 0) AS largest, count(*) FILTER (WHERE levels > 1) AS cross_trust FROM (SELECT cluster_id, representative, count(*) AS n, count(DISTINCT trust) AS levels FROM cl GROUP BY ALL)""", _CL)
+ coalesce(max(n), 0) AS largest, count(*) FILTER (WHERE levels > 1) AS cross_trust, coalesce(sum(n), 0)::BIGINT AS members_total, count(*) FILTER (WHERE k > 1) AS multi_group
+ FROM (SELECT cluster_id, representative, count(*) AS n, count(DISTINCT trust) AS levels FROM cl GROUP BY ALL) LEFT JOIN (SELECT cluster_id, count(*) AS k FROM gi GROUP BY cluster_id) USING (cluster_id)""", _BEST)
 def _(t):
-    return G.cluster_report(G.clusters(t.groups, t.members))
+    return G.cluster_report(G.clusters(t.groups, t.members), G.cluster_groups(t.groups, t.members))
 
 
 @query("gr_cluster_page", "SELECT DISTINCT cluster_id, representative, first_member FROM cl WHERE representative <> 'POSSIBLE' ORDER BY first_member, cluster_id LIMIT 20 OFFSET 10", _CL)
@@ -49,11 +65,11 @@ def _(t):
     return c.orderBy("first_member", "cluster_id").offset(10).limit(20)
 
 
-@query("gr_cluster_prewarm", """SELECT cluster_id, file_id FROM (SELECT cluster_id, file_id, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(width_px::BIGINT * height_px, 0) DESC, size_bytes DESC, file_id) AS rn FROM cl JOIN active ON id = file_id) WHERE rn <= 4""", _CL)
+@query("gr_cluster_prewarm", """SELECT cluster_id, file_id, place FROM (SELECT cluster_id, file_id, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(file_id = best, false) DESC, coalesce(width_px::BIGINT * height_px, 0) DESC, size_bytes DESC, file_id) AS place
+ FROM cl JOIN active ON id = file_id LEFT JOIN bs USING (cluster_id) WHERE content_hash IS NOT NULL) WHERE place <= 4""", _BEST)
 def _(t):
-    f = t.active.select(F.col("id").alias("file_id"), F.coalesce(F.col("width_px").cast("long") * F.col("height_px"), F.lit(0)).alias("px"), "size_bytes")
-    c = G.clusters(t.groups, t.members).select("cluster_id", "file_id").join(f, "file_id")
-    return c.selectExpr("cluster_id", "file_id", "row_number() over (partition by cluster_id order by px desc, size_bytes desc, file_id) as rn").where("rn <= 4").drop("rn")
+    c, best = _best(t)
+    return G.prewarm(c, best, t.active)
 
 
 @query("gr_remove_members", """SELECT group_id, file_id FROM (SELECT group_id, file_id, count(*) OVER (PARTITION BY group_id) AS n FROM members WHERE file_id NOT IN (SELECT id FROM files WHERE id % 5 = 2)) WHERE n >= 2""")

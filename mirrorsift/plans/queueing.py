@@ -61,9 +61,11 @@ def _(t):
     return Q.token_bucket(e, rate=1 / 7200, burst=3)
 
 
-@query("top_failed_tasks", "SELECT path, max(id) AS id, sum(attempts)::BIGINT AS attempts, arg_max(last_error, id) AS reason FROM tasks WHERE state = 'FAILED' GROUP BY path ORDER BY id DESC LIMIT 25")
+@query("top_failed_tasks", """SELECT path, max(id) AS id, sum(greatest(attempts, 0))::BIGINT AS attempts, arg_max(coalesce(last_error, 'task failed'), id) AS reason FROM tasks
+ WHERE state = 'FAILED' AND priority >= 0 AND path IS NOT NULL AND path NOT IN (SELECT '/f/' || id::VARCHAR FROM active WHERE content_hash IS NOT NULL) GROUP BY path ORDER BY id DESC LIMIT 25""")
 def _(t):
-    return Q.failed_tasks(t.tasks, 25)
+    hashed = t.active.where("content_hash is not null").select(F.concat(F.lit("/f/"), F.col("id").cast("string")).alias("path"))
+    return Q.failed_tasks(t.tasks, hashed, 25)
 
 
 @query("top_group_page", "SELECT group_id, trust FROM groups WHERE trust = 'VERY_LIKELY' ORDER BY group_id LIMIT 30 OFFSET 20")

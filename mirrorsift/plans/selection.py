@@ -150,9 +150,10 @@ def _(t):
     return S.valid_markers(t.fingerprints, t.files)
 
 
-@query("fil_failure_class", "SELECT id, CASE WHEN contains(lower(last_error), 'database is locked') THEN 'busy' WHEN contains(lower(last_error), 'no such file') THEN 'missing' ELSE 'permanent' END AS class FROM tasks WHERE last_error IS NOT NULL")
+@query("fil_failure_class", """SELECT id, CASE WHEN contains(last_error, 'timed out after') OR contains(last_error, 'decode gate at capacity (concurrent') OR contains(last_error, 'sequential-read gate at capacity (concurrent full-file reads in flight)')
+ OR contains(last_error, 'resource busy or locked') OR contains(last_error, 'is locked') OR attempts < 1 THEN 'transient' ELSE 'permanent' END AS class FROM tasks WHERE last_error IS NOT NULL""")
 def _(t):
-    return t.tasks.where("last_error is not null").select("id", S.failure_class(F.col("last_error")).alias("class"))
+    return t.tasks.where("last_error is not null").select("id", S.failure_class(F.col("last_error"), F.col("attempts")).alias("class"))
 
 
 @query("fil_delete_staleness", "SELECT p.path, CASE WHEN l.path IS NULL THEN 'absent' WHEN l.size_bytes <> p.size_bytes OR l.mtime_ns <> p.mtime_ns THEN 'stale' ELSE 'fresh' END AS verdict FROM previous p LEFT JOIN listing l USING (path)")

@@ -90,11 +90,18 @@ def _(t):
 
 
 @query("tl_overlap_fractions", """SELECT group_id, file_b, CASE WHEN d > 0 THEN greatest(0.0, least(1.0, source_start_ms / d)) ELSE 0.0 END::DOUBLE AS start, CASE WHEN d > 0 THEN greatest(greatest(0.0, least(1.0, source_start_ms / d)), greatest(0.0, least(1.0, source_end_ms / d))) ELSE 0.0 END::DOUBLE AS "end",
- CASE WHEN clip_scenes <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, matched_scenes / clip_scenes)) END::DOUBLE AS coverage, CASE WHEN coalesce(least(c, d) / nullif(greatest(c, d), 0), 0) < 0.9 THEN 'timeline' ELSE 'none' END AS mode
- FROM (SELECT e.*, a.duration_ms AS d, b.duration_ms AS c FROM edges e JOIN files a ON a.id = file_a JOIN files b ON b.id = file_b WHERE trust = 'POSSIBLE')""")
+ CASE WHEN clip_scenes <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, matched_scenes / clip_scenes)) END::DOUBLE AS coverage
+ FROM (SELECT e.*, a.duration_ms AS d FROM edges e JOIN files a ON a.id = file_a WHERE trust = 'POSSIBLE')""")
 def _(t):
-    dur = lambda k, n: t.files.select(F.col("id").alias(f"file_{k}"), F.col("duration_ms").alias(n))
-    e = t.edges.where("trust = 'POSSIBLE'").join(dur("a", "d"), "file_a").join(dur("b", "c"), "file_b")
+    e = t.edges.where("trust = 'POSSIBLE'").join(t.files.select(F.col("id").alias("file_a"), F.col("duration_ms").alias("d")), "file_a")
     a, b = V.overlap_fractions(F.col("source_start_ms"), F.col("source_end_ms"), F.col("d"))
     cov = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("matched_scenes"), F.col("clip_scenes")), F.lit(0.0))))
-    return e.select("group_id", "file_b", a.alias("start"), b.alias("end"), cov.alias("coverage"), V.timeline_mode(F.lit("POSSIBLE"), F.least("c", "d"), F.greatest("c", "d")).alias("mode"))
+    return e.select("group_id", "file_b", a.alias("start"), b.alias("end"), cov.alias("coverage"))
+
+
+@query("tl_mode", """SELECT group_id, file_b, CASE WHEN trust <> 'POSSIBLE' THEN 'hidden' WHEN matched_scenes >= 3 THEN 'partial' WHEN coalesce(least(c, d) / nullif(greatest(c, d), 0), 0) >= 0.9 THEN 'full-span:whole-file-est' ELSE 'full-span:missing-overlap' END AS mode
+ FROM (SELECT e.*, a.duration_ms AS d, b.duration_ms AS c FROM edges e JOIN files a ON a.id = file_a JOIN files b ON b.id = file_b)""")
+def _(t):
+    dur = lambda k, n: t.files.select(F.col("id").alias(f"file_{k}"), F.col("duration_ms").alias(n))
+    e = t.edges.join(dur("a", "d"), "file_a").join(dur("b", "c"), "file_b")
+    return e.select("group_id", "file_b", V.timeline_mode(F.col("trust"), F.col("matched_scenes") >= 3, F.least("c", "d"), F.greatest("c", "d")).alias("mode"))

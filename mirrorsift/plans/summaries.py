@@ -97,14 +97,30 @@ def _(t):
     return out.withColumn("done", F.greatest(F.col("indexed") - F.col("inflight"), F.lit(0))).drop("indexed", "inflight")
 
 
-@query("fmt_labels", """SELECT id, CASE WHEN size_bytes < 1024 THEN size_bytes::VARCHAR || ' B' WHEN size_bytes < 1048576 THEN (size_bytes // 1024)::VARCHAR || ' KB' ELSE (size_bytes // 1048576)::VARCHAR || ' MB' END AS size,
+@query("fmt_labels", """SELECT id, CASE WHEN size_bytes <= 0 THEN '0 B' WHEN size_bytes < 1024 THEN size_bytes::VARCHAR || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', floor(size_bytes / 1024.0::DOUBLE * 10 + 0.5) / 10)
+  WHEN size_bytes < 1073741824 THEN printf('%.1f MB', floor(size_bytes / 1048576.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor(size_bytes / 1073741824.0::DOUBLE * 10 + 0.5) / 10) END AS size,
  CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration,
- CASE WHEN height_px >= 2160 THEN '4K' WHEN height_px >= 1440 THEN '1440p' WHEN height_px >= 1080 THEN '1080p' WHEN height_px >= 720 THEN '720p' WHEN height_px IS NOT NULL THEN width_px::VARCHAR || 'x' || height_px::VARCHAR ELSE 'unknown' END AS resolution,
- CASE WHEN bitrate_bps >= 1000000 THEN (bitrate_bps // 1000000)::VARCHAR || ' Mbps' ELSE (bitrate_bps // 1000)::VARCHAR || ' kbps' END AS bitrate FROM (SELECT *, duration_ms // 1000 AS s FROM files)""")
+ CASE WHEN width_px IS NULL OR height_px IS NULL THEN NULL WHEN greatest(width_px, height_px) >= 3840 THEN '4K' WHEN greatest(width_px, height_px) >= 2560 THEN '1440p' WHEN least(width_px, height_px) >= 1080 THEN '1080p'
+  WHEN least(width_px, height_px) >= 720 THEN '720p' WHEN least(width_px, height_px) >= 480 THEN '480p' ELSE least(width_px, height_px)::VARCHAR || 'p' END AS resolution,
+ CASE WHEN bitrate_bps > 0 THEN printf('%.1f Mbps', floor(bitrate_bps / 1000000.0::DOUBLE * 10 + 0.5) / 10) ELSE '—' END AS bitrate FROM (SELECT *, greatest((duration_ms + 500) // 1000, 0) AS s FROM files)""")
 def _(t):
     return t.files.select("id", X.size_label(F.col("size_bytes")).alias("size"), X.duration_label(F.col("duration_ms")).alias("duration"), X.resolution_label(F.col("width_px"), F.col("height_px")).alias("resolution"), X.bitrate_label(F.col("bitrate_bps")).alias("bitrate"))
 
 
+@query("fmt_trust_labels", """SELECT group_id, CASE trust WHEN 'EXACT' THEN 'exact' WHEN 'VERY_LIKELY' THEN 'very-likely' ELSE 'possible' END AS class, CASE trust WHEN 'EXACT' THEN '완전 동일' WHEN 'VERY_LIKELY' THEN '유사 (재인코딩)' ELSE '유사 (추정)' END AS label,
+ CASE trust WHEN 'EXACT' THEN '완전 동일' WHEN 'VERY_LIKELY' THEN '재인코딩' ELSE '추정' END AS short_label FROM groups""")
+def _(t):
+    x = F.col("trust")
+    return t.groups.select("group_id", X.named(x, X.TRUST_CLASS).alias("class"), X.named(x, X.TRUST_LABEL).alias("label"), X.named(x, X.TRUST_SHORT_LABEL).alias("short_label"))
+
+
+@query("fmt_relative_activity", """SELECT series, ts_ms, CASE WHEN s < 5 THEN '방금' WHEN s < 60 THEN s::VARCHAR || '초 전' WHEN s < 3600 THEN (s // 60)::VARCHAR || '분 전' WHEN s < 86400 THEN (s // 3600)::VARCHAR || '시간 전' ELSE (s // 86400)::VARCHAR || '일 전' END AS label
+ FROM (SELECT series, ts_ms, done % 7 * 40000 // 1000 AS s FROM samples)""")
+def _(t):
+    now = F.col("ts_ms") + F.col("done") % 7 * 40_000
+    return t.samples.select("series", "ts_ms", X.relative_activity(F.col("ts_ms"), now).alias("label"))
+
+
 @query("fmt_progress_ratios", """SELECT series, ts_ms, pending + running + done + failed AS total, CASE WHEN pending + running + done + failed = 0 THEN 0.0 ELSE (done + failed) / (pending + running + done + failed) END::DOUBLE AS fraction, pending + running AS remaining FROM samples""")
 def _(t):
     total = F.col("pending") + F.col("running") + F.col("done") + F.col("failed")
@@ -120,7 +136,7 @@ def _(t):
 
 @query("fmt_backoff", "SELECT id, least(2000 * (2 ** attempts), 30000)::BIGINT AS wait_ms FROM tasks")
 def _(t):
-    return t.tasks.select("id", X.backoff(F.col("attempts") + 1, 2_000, 30_000).alias("wait_ms"))
+    return t.tasks.select("id", X.backoff(F.col("attempts"), 2_000, 30_000).alias("wait_ms"))
 
 
 @query("fmt_skip_breakdown", "SELECT string_agg(skip_reason || '=' || n::VARCHAR, ', ' ORDER BY n DESC, skip_reason) AS breakdown FROM (SELECT skip_reason, count(*) AS n FROM fingerprints WHERE skip_reason IS NOT NULL GROUP BY skip_reason)")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a folder of this machine only where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or f"file://{tempfile.gettempdir()}/mirrorsift-checkpoints").rstrip("/")
 
 
