@@ -122,6 +122,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.gettempdir()}/mirrorsift-checkpoints"
     return named.rstrip("/")
 
