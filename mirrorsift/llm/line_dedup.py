@@ -81,9 +81,9 @@ def _order(docs: DataFrame) -> Column:
 def _keys(lines: DataFrame, turn: Column, *columns: str) -> DataFrame:
     """columns, and the keys k of each line's words: hashes whose leading bits are the rank of their bucket."""
     words = lines.select(*columns, _words(F.col("line"), F.col("odd")).alias("w"))
-    # hashing a word twice costs less than a second pass over the array
-    key = lambda w: F.xxhash64(w).bitwiseXOR(turn[F.shiftrightunsigned(F.xxhash64(w), 64 - BUCKET_BITS)])
-    return words.select(*columns, F.transform("w", key).alias("k"))
+    hashed = words.select(*columns, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    key = lambda h: h.bitwiseXOR(turn[F.shiftrightunsigned(h, 64 - BUCKET_BITS)])
+    return hashed.select(*columns, F.transform("h", key).alias("k"))
 
 
 def _prefixes(lines: DataFrame, turn: Column, percent: int, depth: int) -> DataFrame:
@@ -103,12 +103,13 @@ def _prefixes(lines: DataFrame, turn: Column, percent: int, depth: int) -> DataF
 def _fetch(docs: DataFrame, wanted: DataFrame, turn: Column) -> DataFrame:
     """(cid, at, tokens) of wanted classes (cid, at): the distinct tokens in their order."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    asked = wanted.groupBy(F.col("at.doc_id").alias("id"), F.col("at.dh").alias("ah")).agg(F.collect_list(F.struct("cid", "at")).alias("asked"))
+    asked = wanted.groupBy(F.col("at.doc_id").alias("id"), F.col("at.dh").alias("ah")).agg(F.collect_list(F.struct("at.line_no", "cid")).alias("asked"))
     side = F.broadcast(asked) if few else asked
     texts = docs.withColumn("dh", F.xxhash64("text"))
-    found = texts.join(side, (texts["dh"] == side["ah"]) & texts["doc_id"].eqNullSafe(side["id"])).select(_odd(F.col("text")).alias("odd"), F.split("text", "\n").alias("lines"), "asked")
-    each = F.transform("asked", lambda a: F.struct(F.element_at("lines", a["at"]["line_no"] + 1).alias("line"), a["cid"].alias("cid"), a["at"].alias("at")))
-    lines = found.select("odd", F.explode_outer(each).alias("a")).select("a.line", "a.cid", "a.at", "odd")
+    found = texts.join(side, (texts["dh"] == side["ah"]) & texts["doc_id"].eqNullSafe(side["id"])).select("id", "ah", _odd(F.col("text")).alias("odd"), F.split("text", "\n").alias("lines"), "asked")
+    each = F.transform("asked", lambda a: F.struct(F.element_at("lines", a["line_no"] + 1).alias("line"), a["cid"].alias("cid"), a["line_no"].alias("line_no")))
+    lines = found.select("id", "ah", "odd", F.explode_outer(each).alias("a"))
+    lines = lines.select("a.line", "a.cid", F.struct(F.col("id").alias("doc_id"), F.col("ah").alias("dh"), "a.line_no").alias("at"), "odd")
     shingles = f"transform(slice(k, 1, size(k) - {SHINGLE - 1}), (x, i) -> {_TOKEN.format(first='x', k='k', i='i')})"
     return _keys(lines, turn, "cid", "at").select("cid", "at", F.expr(f"sort_array(array_distinct({shingles}))").alias("tokens"))
 
