@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -138,56 +139,65 @@ def last_activity(samples: DataFrame) -> DataFrame:
     return s.select("series", "ts_ms", F.last("g", ignorenulls=True).over(_by().rowsBetween(Window.unboundedPreceding, 0)).alias("active_ms"))
 
 
-class EtaEstimator:
-    """Smoothed time to go of one series: an irregular-interval moving average of the rate, and a display value that
-    counts down and moves a part of the way to the raw estimate."""
-
-    TAU, ALPHA, HOLD = 120.0, 0.15, 8
-
-    def __init__(self, state: tuple | None = None):
-        self.rate, self.t, self.pending, self.shown, self.held = state or (None, None, None, None, 0)
-
-    def state(self) -> tuple:
-        real = lambda v: None if v is None else float(v)
-        return real(self.rate), real(self.t), real(self.pending), real(self.shown), self.held
-
-    def push(self, ts_ms: int, pending_bytes: int, left: int, paused: bool = False) -> float | None:
-        dt = 0.0 if self.t is None else max(0.0, (ts_ms - self.t) / 1000)
-        if not paused:
-            if self.t is not None and dt > 0:
-                drained = max(0, self.pending - pending_bytes)
-                if self.rate is not None:
-                    self.rate += (1 - np.exp(-dt / self.TAU)) * (drained / dt - self.rate)
-                elif drained > 0:
-                    self.rate = drained / dt
-            raw = pending_bytes / self.rate if pending_bytes > 0 and self.rate else None
-            if left <= 0:
-                self.shown, self.held = None, 0
-            elif raw is None:
-                hold = self.shown is not None and self.held < self.HOLD
-                self.shown, self.held = (max(0.0, self.shown - dt), self.held + 1) if hold else (None, 0)
-            else:
-                expected = None if self.shown is None else self.shown - dt
-                self.shown, self.held = raw if expected is None else max(0.0, expected + self.ALPHA * (raw - expected)), 0
-        self.t, self.pending = ts_ms, pending_bytes
-        return None if self.shown is None else float(np.floor(self.shown + 0.5))
+#: Seconds of the moving average of speeds, the part of the way that a shown time moves to a new estimate,
+#: and for how many samples without an estimate a shown time is counted down.
+AVERAGE_SECONDS, APPROACH, COUNTED_DOWN = 120.0, 0.15, 8
+
+
+class Shown(NamedTuple):
+    """What smoothing carries from one sample of a series to the next."""
+
+    speed: float | None = None
+    seconds: float | None = None
+    counted: int = 0
+
+    def label(self) -> float | None:
+        return None if self.seconds is None else float(np.floor(self.seconds + 0.5))
+
+
+def averaged(speed: float | None, drained: float, dt: float) -> float | None:
+    """Moving average of bytes a second over intervals of any length; it begins with the first interval that drains."""
+    if dt <= 0:
+        return speed
+    if speed is None:
+        return drained / dt if drained > 0 else None
+    weight = float(np.exp(-dt / AVERAGE_SECONDS))
+    return weight * speed + (1 - weight) * max(0.0, drained) / dt
+
+
+def next_shown(past: Shown, dt: float, drained: float, pending: float, left: float) -> Shown:
+    """One step of the smoothing, dt seconds after the sample before (0 for the first one)."""
+    speed = averaged(past.speed, drained, dt)
+    if left <= 0:
+        return Shown(speed)
+    ahead = None if past.seconds is None else past.seconds - dt
+    if pending > 0 and speed:
+        goal = pending / speed
+        return Shown(speed, goal if ahead is None else max(0.0, (1 - APPROACH) * ahead + APPROACH * goal))
+    if ahead is None or past.counted >= COUNTED_DOWN:
+        return Shown(speed)
+    return Shown(speed, max(0.0, ahead), past.counted + 1)
 
 
 def smoothed_eta(samples: DataFrame) -> DataFrame:
     """(series, ts_ms, eta_seconds): each state needs the one before, so a series is walked in order.
 
-    Rows come sorted by series and time within partitions and are streamed: memory doesn't grow with a series.
+    Time and bytes since the sample before are windows; rows come sorted by series and time within partitions and are
+    streamed: memory doesn't grow with a series.
     """
-    ordered = samples.select("series", "ts_ms", "pending_bytes", remaining().alias("left")).repartition("series").sortWithinPartitions("series", "ts_ms")
+    dt = F.greatest(F.lit(0.0), F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(_by())) / 1000, F.lit(0.0)))
+    drained = F.coalesce(F.lag("pending_bytes").over(_by()) - F.col("pending_bytes"), F.lit(0))
+    steps = samples.select("series", "ts_ms", "pending_bytes", remaining().alias("left"), dt.alias("dt"), drained.cast("double").alias("drained"))
+    ordered = steps.sortWithinPartitions("series", "ts_ms")  # the windows have brought each series together
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own = None, None
+        at, now = None, Shown()
         for pdf in batches:
             out = []
-            for s, t, b, left in zip(pdf["series"], pdf["ts_ms"], pdf["pending_bytes"], pdf["left"], strict=True):
-                if own is None or s != at:
-                    at, own = s, EtaEstimator()
-                out.append(own.push(int(t), int(b), int(left)))
+            for s, *step in zip(*(pdf[c] for c in ("series", "dt", "drained", "pending_bytes", "left")), strict=True):
+                now = next_shown(now if s == at else Shown(), *step)
+                at = s
+                out.append(now.label())
             yield pd.DataFrame({"series": pdf["series"], "ts_ms": pdf["ts_ms"], "eta_seconds": pd.array(out, dtype="Float64")})
 
     return ordered.mapInPandas(run, "series string, ts_ms long, eta_seconds double")

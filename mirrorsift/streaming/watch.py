@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mirrorsift.operators.changes import EtaEstimator, classify_events
+from mirrorsift.operators.changes import Shown, classify_events, next_shown
 
 EVENT_SCHEMA = "event_id long, ts timestamp, kind string, path string, new_path string"
 SAMPLE_SCHEMA = "series string, ts timestamp, pending_bytes long, left long"
@@ -56,13 +56,18 @@ def smoothed_eta_stream(samples: DataFrame) -> DataFrame:
     """(series, ts_ms, eta_seconds) of a stream of samples; a series' state is five numbers."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = EtaEstimator(tuple(None if v is None or v != v else v for v in state.get)) if state.exists else EtaEstimator()
-        own.held = int(own.held or 0)
+        speed, seconds, counted, at, held = (None if v is None or v != v else v for v in state.get) if state.exists else (None,) * 5
+        now = Shown(speed, seconds, int(counted or 0))
         pdf = pd.concat(list(pdfs)).sort_values("ts")
         ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
-        out = [own.push(int(t), int(b), int(n)) for t, b, n in zip(ms, pdf["pending_bytes"], pdf["left"], strict=True)]
-        state.update(own.state())
+        out = []
+        for t, pending, left in zip(ms, pdf["pending_bytes"], pdf["left"], strict=True):
+            dt, drained = (0.0, 0.0) if at is None else (max(0.0, (t - at) / 1000), held - pending)
+            now = next_shown(now, dt, drained, pending, left)
+            at, held = float(t), float(pending)
+            out.append(now.label())
+        state.update((now.speed, now.seconds, now.counted, at, held))
         yield pd.DataFrame({"series": key[0], "ts_ms": ms, "eta_seconds": pd.array(out, dtype="Float64")})
 
     return samples.groupBy("series").applyInPandasWithState(
-        step, "series string, ts_ms long, eta_seconds double", "rate double, t double, pending double, shown double, held int", "append", GroupStateTimeout.NoTimeout)
+        step, "series string, ts_ms long, eta_seconds double", "speed double, seconds double, counted int, at double, held double", "append", GroupStateTimeout.NoTimeout)

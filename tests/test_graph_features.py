@@ -86,17 +86,34 @@ def test_kept_scenes_compare_with_the_last_kept(spark):
 
 
 def test_eta_holds_and_counts_down():
-    e = changes.EtaEstimator()
-    assert e.push(0, 1000, 5) is None
-    assert e.push(1000, 900, 5) == 9
-    assert e.push(1500, 100, 5, paused=True) == 9
-    first = e.push(2500, 100, 5)
-    assert first is not None and e.push(3500, 0, 0) is None
-    held = changes.EtaEstimator((10.0, 0, 100, 50.0, 0))
-    out = [held.push(k * 1000, 0, 3) for k in range(1, 12)]
+    step = changes.next_shown
+    first = step(changes.Shown(), 0, 0, 1000, 5)
+    assert first.label() is None
+    second = step(first, 1, 100, 900, 5)
+    assert second.speed == 100 and second.label() == 9
+    third = step(second, 1, 800, 100, 5)
+    assert third.label() == 7 and step(third, 1, 100, 0, 0).label() is None
+    held, out = changes.Shown(10.0, 50.0, 0), []
+    for _ in range(11):
+        held = step(held, 1, 0, 0, 3)
+        out.append(held.label())
     assert out[0] == 49 and out[7] == 42 and out[8] is None
 
 
+def test_eta_of_a_table_equals_the_steps(spark):
+    """Series in one table, with a repeated time, bytes that grow and an end."""
+    rows = [("a", 0, 1000), ("a", 1000, 900), ("a", 1000, 900), ("a", 4000, 950), ("a", 9000, 300), ("a", 12000, 0), ("b", 5, 10), ("b", 2005, 4)]
+    s = spark.createDataFrame([(*r, r[2], 0, 0, 0, 1) for r in rows], "series string, ts_ms long, pending_bytes long, pending long, running long, done long, failed long, total long")
+    got = sorted((r["series"], r["ts_ms"], r["eta_seconds"]) for r in changes.smoothed_eta(s).collect())
+    want, past = [], {}
+    for name, t, b in rows:
+        now, t0, b0 = past.get(name, (changes.Shown(), t, b))
+        now = changes.next_shown(now, (t - t0) / 1000, b0 - b, b, b)
+        past[name] = (now, t, b)
+        want.append((name, t, now.label()))
+    assert got == sorted(want, key=lambda r: (r[0], r[1]))
+
+
 def test_debounced_stream(spark, tmp_path):
     rows = [(1, 0, "create", "/a.mp4", None), (2, 100, "remove", "/a.mp4", None), (3, 900, "modify", "/a.mp4", None), (4, 50, "rename_both", "/b.mkv", "/c.mkv"), (5, 60, "create", "/x.txt", None), (6, 120_000, "create", "/z.mp4", None)]
     df = spark.createDataFrame(rows, "event_id long, ms long, kind string, path string, new_path string")
