@@ -166,47 +166,83 @@ def mih_postings(hashes: DataFrame, chunks: int = 4) -> DataFrame:
     return rows.withColumn("slice_value", band(F.col("phash"), F.col("chunk"), chunks))
 
 
-def mih_join(hashes: DataFrame, distance: int = 6, chunks: int = 4) -> DataFrame:
+def mih_join(hashes: DataFrame, distance: int = 6, chunks: int = 4, probes: DataFrame | None = None) -> DataFrame:
     """(a, b, distance) of all pairs within the distance, by one exact or one-bit-off chunk of four.
 
-    Complete for distances below 2 * chunks: some chunk then differs in one bit at most.
+    Complete for distances below 2 * chunks: some chunk then differs in one bit at most. a < b; with probes, some of the
+    hashes, a is one of these and b any other one.
     """
     if distance >= 2 * chunks:
         raise ValueError("the radius of one bit covers distances below twice the chunks")
     width = BITS // chunks
     build = mih_postings(first_rows(hashes), chunks).select(F.col("file_id").alias("b"), F.col("phash").alias("q"), "chunk", "slice_value")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(width)])
-    probe = mih_postings(first_rows(hashes), chunks).select(F.col("file_id").alias("a"), F.col("phash").alias("p"), "chunk", F.col("slice_value").alias("own"), F.explode(flips).alias("flip"))
+    probe = mih_postings(first_rows(hashes if probes is None else probes), chunks).select(F.col("file_id").alias("a"), F.col("phash").alias("p"), "chunk", F.col("slice_value").alias("own"), F.explode(flips).alias("flip"))
     probe = probe.select("a", "p", "chunk", F.col("own").bitwiseXOR(F.col("flip")).alias("slice_value"))
-    pairs = probe.join(build, ["chunk", "slice_value"]).where("a < b").withColumn("distance", hamming(F.col("p"), F.col("q")).cast("long"))
+    pairs = probe.join(build, ["chunk", "slice_value"]).where("a < b" if probes is None else "a <> b").withColumn("distance", hamming(F.col("p"), F.col("q")).cast("long"))
     return pairs.where(F.col("distance") <= distance).select("a", "b", "distance").distinct()
 
 
 # ---------------------------------------------------------------- sequences
 
 
-def scene_pairs(scenes: DataFrame, params: AlignParams) -> DataFrame:
-    """(x, x_index, x_ts, y, y_index, y_ts) of scenes of different files that share a band, each pair once."""
-    rows = banded(scenes, "file_id", BandParams(params.bands, params.distance))
-    x = rows.select(F.col("file_id").alias("x"), F.col("scene_index").alias("x_index"), F.col("ts_ms").alias("x_ts"), F.col("phash").alias("p"), "band", "value")
-    y = rows.select(F.col("file_id").alias("y"), F.col("scene_index").alias("y_index"), F.col("ts_ms").alias("y_ts"), F.col("phash").alias("q"), "band", "value")
-    pairs = x.join(y, ["band", "value"]).where("x <> y")
-    return pairs.where(_lowest_shared_band(BandParams(params.bands, params.distance))).select("x", "x_index", "x_ts", "y", "y_index", "y_ts")
+def _sized(scenes: DataFrame) -> DataFrame:
+    """scenes with n, how many their file has."""
+    return scenes.join(scenes.groupBy("file_id").agg(F.count("*").alias("n")), "file_id")
 
 
-def near_scene_pairs(scenes: DataFrame, distance: int = 6) -> DataFrame:
+def _ends(rows: DataFrame, phash: tuple[str, str], *more: str) -> tuple[DataFrame, DataFrame]:
+    """rows as the two ends of pairs; counts come along where rows have them."""
+    counted = "n" in rows.columns
+    side = lambda s, h: rows.select(
+        F.col("file_id").alias(s), F.col("scene_index").alias(f"{s}_index"), F.col("ts_ms").alias(f"{s}_ts"), F.col("phash").alias(h), *more, *([F.col("n").alias(f"{s}_n")] if counted else []))
+    return side("x", phash[0]), side("y", phash[1])
+
+
+def _asked(pairs: DataFrame, least: int | None) -> DataFrame:
+    """Pairs of different files; with least, x has at least so many scenes and y more than x."""
+    pairs = pairs.where("x <> y")
+    return pairs if least is None else pairs.where((F.col("x_n") >= least) & (F.col("y_n") > F.col("x_n")))
+
+
+def scene_pairs(scenes: DataFrame, params: AlignParams, least: int | None = None) -> DataFrame:
+    """(x, x_index, x_ts, y, y_index, y_ts) of scenes of different files that share a band, each pair once.
+
+    With least, only pairs of a clip x of at least so many scenes and a source y of more: the join drops the others.
+    """
+    bands = BandParams(params.bands, params.distance)
+    x, y = _ends(banded(scenes if least is None else _sized(scenes), "file_id", bands), ("p", "q"), "band", "value")
+    pairs = _asked(x.join(y, ["band", "value"]), least)
+    return pairs.where(_lowest_shared_band(bands)).select("x", "x_index", "x_ts", "y", "y_index", "y_ts")
+
+
+def near_scene_pairs(scenes: DataFrame, distance: int = 6, least: int | None = None, changed: DataFrame | None = None) -> DataFrame:
     """(x, x_index, x_ts, y, y_index, y_ts, distance) of scenes of different files within the distance, by the multi-index.
 
-    Distinct hashes are compared first, so that a hot hash is probed once.
+    Distinct hashes are compared first, so that a hot hash is probed once. least is that of scene_pairs. With changed
+    (file_id) only pairs with such an end: only the hashes of these files are probed.
     """
-    rows = scenes.where(F.col("phash").isNotNull() & (F.col("phash") != 0)).select("file_id", "scene_index", "ts_ms", "phash")
+    rows = (scenes if least is None else _sized(scenes)).where(F.col("phash").isNotNull() & (F.col("phash") != 0))
+    named = lambda d: d.select(F.col("phash").alias("file_id"), "phash")
+    same = lambda d: d.select(F.col("phash").alias("a"), F.col("phash").alias("b"), F.lit(0).cast("long").alias("distance"))
+    cols = ["x", "x_index", "x_ts", "y", "y_index", "y_ts", "distance"]
     own = rows.select("phash").distinct()
-    near = mih_join(own.select(F.col("phash").alias("file_id"), "phash"), distance)
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    near = near.unionByName(own.select(F.col("phash").alias("a"), F.col("phash").alias("b"), F.lit(0).cast("long").alias("distance")))
-    x = rows.select(F.col("file_id").alias("x"), F.col("scene_index").alias("x_index"), F.col("ts_ms").alias("x_ts"), F.col("phash").alias("a"))
-    y = rows.select(F.col("file_id").alias("y"), F.col("scene_index").alias("y_index"), F.col("ts_ms").alias("y_ts"), F.col("phash").alias("b"))
-    return x.join(near, "a").join(y, "b").where("x <> y").select("x", "x_index", "x_ts", "y", "y_index", "y_ts", "distance")
+    if changed is None:
+        near = mih_join(named(own), distance)
+        near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(same(own))
+        x, y = _ends(rows, ("a", "b"))
+        return _asked(x.join(near, "a").join(y, "b"), least).select(cols)
+    ids = changed.select("file_id").distinct()
+    touched = rows.join(ids, "file_id", "left_semi")
+    probes = touched.select("phash").distinct()
+    near = mih_join(named(own), distance, probes=named(probes)).unionByName(same(probes))
+    x, _ = _ends(touched, ("a", "b"))
+    _, y = _ends(rows.join(ids.withColumn("also", F.lit(True)), "file_id", "left"), ("a", "b"), "also")
+    found = x.join(near, "a").join(y, "b")
+    # a pair of two changed files comes from either end; the others are turned round
+    turned = {**{f"x{c}": f"y{c}" for c in ("", "_index", "_ts", "_n")}, **{f"y{c}": f"x{c}" for c in ("", "_index", "_ts", "_n")}}
+    other = found.where("also is null").select(*[F.col(turned.get(c, c)).alias(c) for c in found.columns])
+    return _asked(found.unionByName(other), least).select(cols)
 
 
 def near_files(scenes: DataFrame, distance: int = 6) -> DataFrame:
@@ -215,33 +251,42 @@ def near_files(scenes: DataFrame, distance: int = 6) -> DataFrame:
     return near.agg(F.min("distance").alias("distance"), F.count("*").alias("pairs"))
 
 
-def offset_votes(pairs: DataFrame) -> DataFrame:
-    """(clip, source, bucket, votes): each pair votes for the five offset buckets around its own."""
-    own = floor_bucket(F.col("y_ts") - F.col("x_ts"), VOTE_BUCKET_MS)
-    v = pairs.select(F.col("x").alias("clip"), F.col("y").alias("source"), F.explode(F.sequence(own - 2, own + 2)).alias("bucket"))
-    return v.groupBy("clip", "source", "bucket").agg(F.count("*").alias("votes"))
+def _offset_counts(pairs: DataFrame, least: int, *offsets: str) -> DataFrame:
+    """(x, y, offsets, n) of file pairs with at least so many scene pairs: how many have these offsets.
+
+    Counted before the shuffle; a file pair's rows are in one partition, and what follows by (x, y) needs no other shuffle.
+    """
+    counts = pairs.groupBy("x", "y", *offsets).agg(F.count("*").alias("n"))
+    return counts.repartition("x", "y").selectExpr("*", "sum(n) over (partition by x, y) as total").where(F.col("total") >= least) if least > 1 else counts
+
+
+def offset_votes(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """(clip, source, bucket, votes), of at least so many votes: each pair votes for the five offset buckets around its own."""
+    own = pairs.select("x", "y", floor_bucket(F.col("y_ts") - F.col("x_ts"), VOTE_BUCKET_MS).alias("own"))
+    v = _offset_counts(own, least, "own").select(F.col("x").alias("clip"), F.col("y").alias("source"), "n", F.explode(F.sequence(F.col("own") - 2, F.col("own") + 2)).alias("bucket"))
+    return v.groupBy("clip", "source", "bucket").agg(F.sum("n").alias("votes")).where(F.col("votes") >= least)
 
 
 def clip_candidates(scenes: DataFrame, params: AlignParams) -> DataFrame:
     """(clip, source, bucket, votes) worth verifying: two votes, a long enough clip, a source with more scenes."""
-    return _long_enough(scene_pairs(scenes, params), scenes, params)
+    return offset_votes(scene_pairs(scenes, params, params.min_scenes), LEAST_VOTES)
 
 
-def alignable_candidates(scenes: DataFrame, params: AlignParams) -> DataFrame:
+def alignable_candidates(scenes: DataFrame, params: AlignParams, changed: DataFrame | None = None) -> DataFrame:
     """The clip_candidates that an alignment can hold: those with two votes of scenes within the distance.
 
     Each matched scene pair of an alignment is within the distance and its time votes for the alignment's bucket, so
-    candidates with fewer such votes fail. Needs bands that find all pairs; with others these are clip_candidates.
+    candidates with fewer such votes fail. Needs bands that find all pairs; with others these are clip_candidates. With
+    changed (file_id) only those with such an end.
     """
     whole = BandParams(params.bands, params.distance).finds_all and params.distance < 8 and params.min_matched >= LEAST_VOTES
-    return _long_enough(near_scene_pairs(scenes, params.distance), scenes, params) if whole else clip_candidates(scenes, params)
-
-
-def _long_enough(pairs: DataFrame, scenes: DataFrame, params: AlignParams) -> DataFrame:
-    counts = scenes.groupBy("file_id").agg(F.count("*").alias("n"))
-    v = offset_votes(pairs).where(F.col("votes") >= LEAST_VOTES)
-    v = v.join(counts.select(F.col("file_id").alias("clip"), F.col("n").alias("clip_n")), "clip").join(counts.select(F.col("file_id").alias("source"), F.col("n").alias("source_n")), "source")
-    return v.where((F.col("clip_n") >= params.min_scenes) & (F.col("source_n") > F.col("clip_n"))).select("clip", "source", "bucket", "votes")
+    if whole:
+        return offset_votes(near_scene_pairs(scenes, params.distance, params.min_scenes, changed), LEAST_VOTES)
+    found = clip_candidates(scenes, params)
+    if changed is None:
+        return found
+    mark = lambda end: changed.select(F.col("file_id").alias(end), F.lit(True).alias(f"{end}_changed")).distinct()
+    return found.join(mark("clip"), "clip", "left").join(mark("source"), "source", "left").where("clip_changed or source_changed").select("clip", "source", "bucket", "votes")
 
 
 _ALIGNED = "matched long, source_start_ms long, source_end_ms long, clip_start_ms long, clip_end_ms long, clip_scenes long"
@@ -325,8 +370,7 @@ def partial_incremental(scenes: DataFrame, sequences: DataFrame, previous: DataF
     kept = previous.join(ids.withColumnRenamed("file_id", "clip"), "clip", "left_anti").join(ids.withColumnRenamed("file_id", "source"), "source", "left_anti")
     there = sequences.select("file_id")
     kept = kept.join(there.withColumnRenamed("file_id", "clip"), "clip", "left_semi").join(there.withColumnRenamed("file_id", "source"), "source", "left_semi")
-    marked = alignable_candidates(scenes, params).join(ids.select(F.col("file_id").alias("clip"), F.lit(True).alias("c")), "clip", "left").join(ids.select(F.col("file_id").alias("source"), F.lit(True).alias("s")), "source", "left")
-    new = partial_clips(scenes, sequences, params, marked.where("c or s").select("clip", "source", "bucket", "votes"))
+    new = partial_clips(scenes, sequences, params, alignable_candidates(scenes, params, ids))
     return kept.select(*new.columns).unionByName(new)
 
 
@@ -356,18 +400,18 @@ def whole_candidates(scenes: DataFrame, params: AlignParams) -> DataFrame:
 
     The offset is the upper median of the buckets with the most votes.
     """
-    pairs = scene_pairs(scenes, params).where("x < y")
-    total = pairs.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("total")).where(F.col("total") >= LEAST_VOTES)
-
-    def modal(sign: int, name: str) -> DataFrame:
-        own = floor_bucket((F.col("y_ts") - F.col("x_ts")) * sign, VOTE_BUCKET_MS)
-        votes = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.explode(F.sequence(own - 2, own + 2)).alias("bucket")).groupBy("a", "b", "bucket").agg(F.count("*").alias("v"))
-        ranked = votes.selectExpr("*", "max(v) over (partition by a, b) as top").where("v = top")
-        ties = ranked.groupBy("a", "b").agg(F.sort_array(F.collect_list("bucket")).alias("l"), F.max("top").alias(f"top_{name}"))
-        return ties.select("a", "b", (F.element_at("l", (F.size("l") / 2).cast("int") + 1) * VOTE_BUCKET_MS).alias(f"offset_{name}_ms"), f"top_{name}")
-
-    out = total.join(modal(1, "ab"), ["a", "b"]).join(modal(-1, "ba"), ["a", "b"])
-    return out.select("a", "b", "total", "offset_ab_ms", (F.col("top_ab") / F.col("total")).alias("consistency_ab"), "offset_ba_ms", (F.col("top_ba") / F.col("total")).alias("consistency_ba"))
+    own = lambda sign: floor_bucket((F.col("y_ts") - F.col("x_ts")) * sign, VOTE_BUCKET_MS)
+    pairs = scene_pairs(scenes, params).where("x < y").select("x", "y", own(1).alias("ab"), own(-1).alias("ba"))
+    counts = _offset_counts(pairs, LEAST_VOTES, "ab", "ba")
+    spread = F.array(*[F.struct(F.lit(way == "ab").alias("ab"), (F.col(way) + k).alias("bucket")) for way in ("ab", "ba") for k in range(-2, 3)])
+    votes = counts.select(F.col("x").alias("a"), F.col("y").alias("b"), "total", "n", F.explode(spread).alias("v"))
+    votes = votes.groupBy("a", "b", "total", F.col("v.ab").alias("ab"), F.col("v.bucket").alias("bucket")).agg(F.sum("n").alias("v"))
+    best = votes.selectExpr("*", "max(v) over (partition by a, b, ab) as top").where("v = top")
+    of = lambda way, c: F.when(F.col("ab") if way == "ab" else ~F.col("ab"), F.col(c))
+    out = best.groupBy("a", "b", "total").agg(*[x for w in ("ab", "ba") for x in (F.sort_array(F.collect_list(of(w, "bucket"))).alias(f"l_{w}"), F.max(of(w, "top")).alias(f"top_{w}"))])
+    median = lambda w: (F.element_at(f"l_{w}", (F.size(f"l_{w}") / 2).cast("int") + 1) * VOTE_BUCKET_MS).alias(f"offset_{w}_ms")
+    share = lambda w: (F.col(f"top_{w}") / F.col("total")).alias(f"consistency_{w}")
+    return out.select("a", "b", "total", median("ab"), share("ab"), median("ba"), share("ba"))
 
 
 def whole_matches(scenes: DataFrame, sequences: DataFrame, params: AlignParams, ratio: float = 0.80, span: float = 0.80, density: float = 0.15) -> DataFrame:
