@@ -9,10 +9,10 @@ have it. Pieces get a rank within their length, which the plan turns into sequen
 
 from __future__ import annotations
 
-import struct
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +25,12 @@ from .common import forget, keep, slices
 CAPACITY = 4096
 #: Chunks whose ids a worker remembers, and characters of them; beyond that it starts anew.
 MOST_WORDS, MOST_CHARS = 300_000, 6_000_000
+#: Marks that are one piece where they end a chunk; the pre-tokenizer's endings begin with a mark that isn't among them.
+MARKS = ".,;:!?()[]{}\"%$#&*|<>+-=/_~^@"
 #: Characters of a chunk from which on it isn't remembered.
 LONG_CHUNK = 256
+#: Bytes of text that a worker encodes at once; a longer text is encoded as a whole.
+SLICE_BYTES = 1_000_000
 
 
 class Encoder:
@@ -60,58 +64,58 @@ class Encoder:
         self.cut = regex.compile(steps[0]["pattern"]["Regex"]) if self.short else None
         self.model = self.whole.model
         self.special = [x["content"] for x in settings.get("added_tokens", [])]
-        self.marks = {x[0] for x in self.special}
         # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.alphabet = [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
-    @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.memory.get(piece)
-        if found is None:
-            text = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
-            found = self.pack([t.id for t in self.model.tokenize(text)])
-            if len(piece) <= LONG_CHUNK:
-                self.memory[piece] = found
-                self.held += len(piece)
-        return found
-
-    def learn(self, chunks: set[str]) -> None:
-        hard = []
+    def learn(self, chunks: set[str], special: bool) -> None:
+        """Remember the ids of chunks and, of at most LONG_CHUNK characters, of the pieces that they consist of.
+
+        special: whether a token that the tokenizer takes before all others may be in a chunk.
+        """
+        memory, plain, tokenize, alphabet = self.memory, self.plain.fullmatch, self.model.tokenize, self.alphabet
+        hard, learnt = [], 0
         for chunk in chunks:
-            if self.short and chunk.isascii() and chunk.isalpha():
-                self.memory[chunk] = self._piece(chunk.lower())
-            elif self.short and self.plain.fullmatch(chunk) and not (self.marks.intersection(chunk) and any(x in chunk for x in self.special)):
-                low = chunk.lower()
-                if low.isalpha():
-                    self.memory[chunk] = self._piece(low)
-                else:
-                    self.memory[chunk] = b"".join([self._piece(x) for x in self.cut.findall(low)])
-            else:
+            ascii_ = chunk.isascii()
+            if not self.short or not (chunk.isprintable() if ascii_ else plain(chunk)) or (special and any(x in chunk for x in self.special)):
                 hard.append(chunk)
+                continue
+            low = chunk.lower()
+            if low.isalpha():
+                pieces = (low,)
+            else:
+                core = low.rstrip(MARKS)
+                pieces = (core, low[len(core) :]) if core.isalpha() else self.cut.findall(low)
+            parts = []
+            for piece in pieces:
+                ids = memory.get(piece)
+                if ids is None:
+                    ids = array("I", [t.id for t in tokenize(piece if ascii_ else "".join([alphabet[b] for b in piece.encode()]))]).tobytes()
+                    if len(piece) <= LONG_CHUNK:
+                        memory[piece] = ids
+                        learnt += len(piece)
+                parts.append(ids)
+            memory[chunk] = parts[0] if len(parts) == 1 else b"".join(parts)
+        self.held += learnt
         for at in range(0, len(hard), 20_000):
             some = hard[at : at + 20_000]
             for name, code in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memory[name] = np.array(code.ids, "<u4").tobytes()
+                memory[name] = array("I", code.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.memory) > MOST_WORDS or self.held > MOST_CHARS:
             self.memory, self.held = {"": b""}, 0
-        memory = self.memory
-        new = {c for own in chunks for c in own if c not in memory}
-        self.learn(new)
-        out = [b"".join([memory[c] for c in own]) for own in chunks]
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del memory[c]
-            else:
-                self.held += len(c)
+        new = set().union(*chunks).difference(self.memory)
+        self.learn(new, any(x in t for t in texts if t for x in self.special))
+        ids = self.memory.__getitem__
+        out = [b"".join(map(ids, own)) for own in chunks]
+        self.held += sum(map(len, new))
+        for c in [c for c in new if len(c) > LONG_CHUNK]:
+            del self.memory[c]
+            self.held -= len(c)
         return out
 
 
@@ -126,7 +130,7 @@ def _encoder(path: str) -> Encoder:
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE_BYTES):
             columns: list[list] = [[], [], [], [], []]
             for doc, raw in zip(batch.column("doc_id").to_pylist(), _encoder(path).encode(batch.column("text").to_pylist()), strict=True):
                 raw += end_id.to_bytes(4, "little")
