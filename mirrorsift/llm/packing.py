@@ -9,6 +9,7 @@ have it. Pieces get a rank within their length, which the plan turns into sequen
 
 from __future__ import annotations
 
+import struct
 import sys
 import types
 import zlib
@@ -52,8 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {"": b""}
-        self.held = 0  # characters of what is remembered
+        self.memory = Memory(self.ids)
+        self.marked = True  # whether a token that the tokenizer takes before all others may be in a chunk
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
         steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -69,56 +70,65 @@ class Encoder:
         others = iter(range(256, 512))
         self.alphabet = [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
-    def learn(self, chunks: set[str], special: bool) -> None:
-        """Remember the ids of chunks and, of at most LONG_CHUNK characters, of the pieces that they consist of.
-
-        special: whether a token that the tokenizer takes before all others may be in a chunk.
-        """
-        memory, plain, tokenize, alphabet = self.memory, self.plain.fullmatch, self.model.tokenize, self.alphabet
-        hard, learnt = [], 0
-        for chunk in chunks:
-            ascii_ = chunk.isascii()
-            if not self.short or not (chunk.isprintable() if ascii_ else plain(chunk)) or (special and any(x in chunk for x in self.special)):
-                hard.append(chunk)
-                continue
-            low = chunk.lower()
-            if low.isalpha():
-                pieces = (low,)
-            else:
-                core = low.rstrip(MARKS)
-                pieces = (core, low[len(core) :]) if core.isalpha() else self.cut.findall(low)
-            parts = []
-            for piece in pieces:
-                ids = memory.get(piece)
-                if ids is None:
-                    ids = array("I", [t.id for t in tokenize(piece if ascii_ else "".join([alphabet[b] for b in piece.encode()]))]).tobytes()
-                    if len(piece) <= LONG_CHUNK:
-                        memory[piece] = ids
-                        learnt += len(piece)
-                parts.append(ids)
-            memory[chunk] = parts[0] if len(parts) == 1 else b"".join(parts)
-        self.held += learnt
-        for at in range(0, len(hard), 20_000):
-            some = hard[at : at + 20_000]
-            for name, code in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memory[name] = array("I", code.ids).tobytes()
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
+
+    @property
+    def held(self) -> int:
+        """Characters of what is remembered."""
+        return self.memory.held
+
+    def _piece(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
+        return self.pack([t.id for t in self.model.tokenize(plain)])
+
+    def ids(self, chunk: str) -> bytes:
+        """The ids of a chunk that isn't remembered."""
+        short = chunk.isprintable() if chunk.isascii() else self.plain.fullmatch(chunk)
+        if not short or (self.marked and any(x in chunk for x in self.special)):
+            return self.pack(self.whole.encode(chunk, add_special_tokens=False).ids)
+        low = chunk.lower()
+        if low.isalpha():
+            return self._piece(low) if low == chunk else self.memory[low]
+        core = low.rstrip(MARKS)
+        if core.isalpha():
+            return self.memory[core] + self.memory[low[len(core) :]]
+        pieces = self.cut.findall(low)
+        return self._piece(low) if pieces == [chunk] else b"".join([self.memory[x] for x in pieces])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.memory) > MOST_WORDS or self.held > MOST_CHARS:
-            self.memory, self.held = {"": b""}, 0
-        new = set().union(*chunks).difference(self.memory)
-        self.learn(new, any(x in t for t in texts if t for x in self.special))
-        ids = self.memory.__getitem__
-        out = [b"".join(map(ids, own)) for own in chunks]
-        self.held += sum(map(len, new))
-        for c in [c for c in new if len(c) > LONG_CHUNK]:
-            del self.memory[c]
-            self.held -= len(c)
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            if not self.short:  # a tokenizer that may look across blanks gets the text as it is
+                out.append(self.pack(self.whole.encode(text, add_special_tokens=False).ids))
+                continue
+            if len(self.memory) > MOST_WORDS or self.memory.held > MOST_CHARS:
+                self.memory = Memory(self.ids)
+            self.marked = any(x in text for x in self.special)
+            out.append(b"".join(map(self.memory.__getitem__, text.replace("\n", " ").split(" "))))
         return out
 
 
+class Memory(dict):
+    """Ids by chunk, made when first asked for; those of long chunks aren't held."""
+
+    def __init__(self, make):
+        super().__init__({"": b""})
+        self.make, self.held = make, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.make(chunk)
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
+            self.held += len(chunk)
+        return ids
+
+
 def _encoder(path: str) -> Encoder:
     """The worker's encoder, kept between tasks of a reused worker."""
     home = sys.modules.setdefault("_packing_memory", types.ModuleType("_packing_memory"))
