@@ -61,10 +61,15 @@ def _scan(shingle: int):
 
         def fold(counted):
             flat, own = np.unique(np.concatenate(held), return_counts=True)
-            both = np.concatenate([counted[0], flat])
-            weight = np.concatenate([counted[1], own])
-            names, where = np.unique(both, return_inverse=True)
-            total = np.bincount(where, weights=weight, minlength=len(names)).astype(np.int64)
+            names, total = counted
+            at = np.searchsorted(names, flat)
+            known = at < len(names)
+            known[known] = names[at[known]] == flat[known]
+            total[at[known]] += own[known]
+            # merged in place of sorting both again, which takes several times the memory
+            at, flat, own = at[~known], flat[~known], own[~known]
+            names = np.insert(names, at, flat)
+            total = np.insert(total, at, own)
             if len(names) > 6_000_000:  # only tokens met more than once may stay: memory is bounded
                 names, total = names[total > 1], total[total > 1]
             return names, total
