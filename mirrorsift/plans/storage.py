@@ -129,4 +129,4 @@ def _(t):
 def _(t):
     own = t.active.select(F.col("id").alias("file_id"))
     scenes, sequences = t.scenes.join(own, "file_id", "left_semi"), t.sequences.join(own, "file_id", "left_semi")
-    return G.rebuilt_whole(t.groups, t.members, D.whole_matches(scenes, sequences, D.AlignParams()))
+    return G.rebuilt_whole(t.groups, t.members, D.whole_matches(scenes, sequences, D.AlignParams(), passing=True))
