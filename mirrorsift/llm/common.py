@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than these; bytes.split() without arguments splits at just these six.
 WORD_GAPS = " \t\n\x0b\x0c\r"
+#: Names under which workers keep something between tasks.
+_LEFT = {"_packing_memory"}
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,6 +57,32 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes:
             begin = end
 
 
+def give_back() -> None:
+    """Memory that this process has freed but holds goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable, kept: tuple[str, ...] = ()) -> Callable:
+    """run (a function on an iterator of batches) in a reused worker: what earlier tasks left there is dropped first but for
+    what is named in kept, and freed memory is given back at the end, so that a worker that waits is small."""
+
+    @functools.wraps(run)
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if [sys.modules.pop(name) for name in _LEFT - set(kept) if name in sys.modules]:
+            gc.collect()
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return all_
+
+
 def split_words(texts: list[str | None], lower: bool = False) -> tuple[list[bytes], np.ndarray]:
     """All words of the texts, one after another, and each text's number of words. Only A-Z are lower-cased."""
     words: list[bytes] = []

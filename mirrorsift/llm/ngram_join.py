@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, forget, keep, mix, shingle_sets, slices
+from .common import components, forget, keep, mix, shingle_sets, slices, tidy
 
 #: Shared signature tokens asked of a pair with large sets.
 DEPTH = 3
@@ -31,6 +31,8 @@ MOST_FREQUENT = 262_144
 FREQUENT_FROM = 12
 #: Members of a group that one task compares with one another; larger groups are compared block by block.
 BLOCK = 1024
+#: Bytes of text that a worker cuts into shingles at once, and tokens that wait at most to be counted.
+SLICE_BYTES, WAITING = 1_000_000, 1_000_000
 
 _SCAN = "kind int, doc_id long, n long, token long, docs long, dh long"
 
@@ -55,7 +57,7 @@ def _scan(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and at the end a row for each token that several sets of the task hold."""
         held: list[np.ndarray] = []
-        counted: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        counted: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         seen: set[int] = set()
         waiting = 0
 
@@ -69,12 +71,12 @@ def _scan(shingle: int):
             # merged in place of sorting both again, which takes several times the memory
             at, flat, own = at[~known], flat[~known], own[~known]
             names = np.insert(names, at, flat)
-            total = np.insert(total, at, own)
+            total = np.insert(total, at, own)  # of 32 bits: a task has fewer texts
             if len(names) > 6_000_000:  # only tokens met more than once may stay: memory is bounded
                 names, total = names[total > 1], total[total > 1]
             return names, total
 
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE_BYTES):
             ids = batch.column("doc_id")
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             prints = [_fingerprint(s) for s in sets]
@@ -83,7 +85,7 @@ def _scan(shingle: int):
                     seen.add(p)
                     held.append(s)
                     waiting += len(s)
-            if waiting > 2_000_000:
+            if waiting > WAITING:
                 counted, held, waiting = fold(counted), [], 0
             k = len(sets)
             nothing = pa.nulls(k, pa.int64())
@@ -99,7 +101,7 @@ def _scan(shingle: int):
             k = len(some)
             nothing = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * k, pa.int32()), nothing, nothing, pa.array(_long(some)), pa.array(total[at : at + 100_000]), nothing],
+                [pa.array([1] * k, pa.int32()), nothing, nothing, pa.array(_long(some)), pa.array(total[at : at + 100_000], pa.int64()), nothing],
                 names=["kind", "doc_id", "n", "token", "docs", "dh"],
             )
 
@@ -114,7 +116,7 @@ def _sign(shingle: int, percent: int, depth: int, frequent):
         """
         often = frequent.value
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE_BYTES):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for s in shingle_sets(batch.column("text").to_pylist(), shingle):
                 name = _fingerprint(s)
@@ -144,7 +146,7 @@ def _sign(shingle: int, percent: int, depth: int, frequent):
 def _sets(shingle: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows with their text's token set in place of the text; a doc_id may have several texts."""
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             own = pa.array([_fingerprint(s) == name for s, name in zip(sets, batch.column("class").to_pylist(), strict=True)], pa.bool_())
             tokens = pa.array([s.tobytes() for s in sets], pa.binary())
@@ -224,7 +226,7 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 8
         raise ValueError(f"depth must be between 1 and 7, got {depth}")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("dh"))
-    scan = keep(docs.mapInArrow(_scan(shingle), _SCAN))
+    scan = keep(docs.mapInArrow(tidy(_scan(shingle)), _SCAN))
     rows = scan.where("kind = 0").select("doc_id", "n", F.col("token").alias("class"), "dh")
     often = (
         scan.where("kind = 1").groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= FREQUENT_FROM).orderBy(F.desc("docs"), "token").limit(MOST_FREQUENT)
@@ -233,7 +235,7 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 8
     frequent = spark.sparkContext.broadcast(tokens)
 
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dh")).alias("rep"))
-    signed = docs.mapInArrow(_sign(shingle, percent, depth, frequent), "token long, class long, grp long, code long")
+    signed = docs.mapInArrow(tidy(_sign(shingle, percent, depth, frequent)), "token long, class long, grp long, code long")
     # tokens of one class only can't be shared: a window over the one exchange by token drops them
     spread = signed.repartition(F.col("token")).selectExpr("*", "min(class) over (partition by token) as lo", "max(class) over (partition by token) as hi")
     spread = keep(spread.where("lo <> hi").select("token", "class", F.col("grp").alias("own"), "code").distinct())
@@ -255,7 +257,7 @@ def ngram_jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 8
         # a class may have rows without id only: the text's hash finds those
         texts = docs.join(placed.hint("shuffle_hash"), (docs["dh"] == placed["rh"]) & docs["doc_id"].eqNullSafe(placed["rid"])).select(*columns, "text")
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select(*columns).schema)
-        return texts.mapInArrow(_sets(shingle, columns), f"{kinds}, tokens binary")
+        return texts.mapInArrow(tidy(_sets(shingle, columns)), f"{kinds}, tokens binary")
 
     # in a large group first the leader, the set with the least share of rare tokens, with all others:
     # near copies of one text are mostly settled by it

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep, slices
+from .common import forget, keep, slices, tidy
 
 CAPACITY = 4096
 #: Chunks whose ids a worker remembers, and characters of them; beyond that it starts anew.
@@ -346,7 +346,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = keep(docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = keep(docs.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id), ("_packing_memory",)), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
     shared = spark.sparkContext.broadcast(_segments(plan(counts, capacity)))
     salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices, tidy
 from .quality_rules import labelled_sample
 
 #: Labelled rows of each class that the model is fitted on, at most, and characters of a class beyond which no more rows join.
@@ -28,6 +28,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, POOL_DIM = 8, 8, 12, 8
 CHAR_ROWS, WORD_ROWS = 1 << 13, 4096
 #: Texts of the fit that a word must be in to get a vector of its own.
 WORD_TEXTS = 8
+#: Bytes of text that a worker scores at once; a longer text is scored as a whole.
+SLICE_BYTES = 1_000_000
 #: Logit of a text without words before calibration.
 EMPTY_LOGIT = -12.0
 #: Rounds over a small sample in each phase of the fit, at most.
@@ -96,8 +98,8 @@ def _inputs(p: dict, word_row: np.ndarray, rows: np.ndarray, ends: np.ndarray) -
     count = np.maximum(ends - begins, 1)
     out = np.empty((len(ends), WORD_DIM + CHAR_DIM), np.float32)
     out[:, :WORD_DIM] = p["word"][word_row]
-    for at in range(0, len(ends), 20_000):  # bounded memory
-        to = min(len(ends), at + 20_000)
+    for at in range(0, len(ends), 4_000):  # bounded memory
+        to = min(len(ends), at + 4_000)
         low, high = begins[at], ends[to - 1]
         some = p["char"][rows[low:high]]
         some = np.concatenate([some, np.zeros((1, CHAR_DIM), np.float32)])
@@ -324,6 +326,14 @@ def score_texts(texts: list[str | None], model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model["slope"] * high + model["offset"], -30, 30)))
 
 
+def scored(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches with the scores of their texts; what a slice took is given back before the next one."""
+    for batch in slices(batches, most_bytes=SLICE_BYTES):
+        score = score_texts(batch.column("text").to_pylist(), model)
+        give_back()
+        yield batch, score
+
+
 def learned(rule_column: str = "doc_id"):
     """Rows that may teach: crc32 of the id's text leaves another remainder than 1 by 3."""
     return F.crc32(F.col(rule_column).cast("string").cast("binary")) % 3 != 1
@@ -344,14 +354,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     shared = docs.sparkSession.sparkContext.broadcast(fit_on_labels(docs, labels, fit_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in slices(batches, most_bytes=1_000_000):
-            score = score_texts(batch.column("text").to_pylist(), model)
+        for batch, score in scored(batches, shared.value):
             out = [zlib.crc32(str(d).encode()) % 3 == 1 if d is not None else None for d in batch.column("doc_id").to_pylist()]
             arrays = [batch.column("doc_id"), pa.array(out, pa.bool_()), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -359,9 +367,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_r
     shared = docs.sparkSession.sparkContext.broadcast(fit_on_labels(docs, labels, fit_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in slices(batches, most_bytes=1_000_000):
-            score = score_texts(batch.column("text").to_pylist(), model)
+        for batch, score in scored(batches, shared.value):
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
