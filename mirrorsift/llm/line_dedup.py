@@ -41,8 +41,9 @@ BROADCAST_ROWS = 500_000
 #: A token: leading bits of its first word's key, by which it is ordered, and 40 bits of the hash of all its words.
 _LOW = 2**40 - 1
 _TOKEN = f"({{first}} & ~{_LOW}L) | shiftrightunsigned(xxhash64({{first}}, get({{k}}, {{i}}+1), get({{k}}, {{i}}+2), get({{k}}, {{i}}+3), get({{k}}, {{i}}+4)), 24)"
-#: For each of 64 values of the tokens' low bits, which are well mixed, whether an odd number of tokens has it.
-_PARITY = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 as int)))"
+#: For each of 256 values of the tokens' low bits, which are well mixed, whether an odd number of tokens has it: four longs.
+#: Of unrelated lines about half of them differ; half of 64 values is no more than two lines of 150 tokens may differ in.
+_PARITY = "named_struct({})".format(", ".join(f"'p{g}', aggregate(tokens, 0L, (a, t) -> if((t & 192) = {64 * g}, a ^ shiftleft(1L, cast(t & 63 as int)), a))" for g in range(4)))
 
 
 def _words(line: Column, odd: Column) -> Column:
@@ -119,7 +120,8 @@ def _near(x: str, y: str, percent: int) -> Column:
     c = lambda s, name: F.col(f"{s}.{name}")
     total = c(x, "n") + c(y, "n")
     out = (F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & (F.least(c(x, "n") - c(x, "place"), c(y, "n") - c(y, "place")) * (100 + percent) >= total * percent)
-    return out & (F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity"))) * (100 + percent) <= total * (100 - percent))
+    odd = [F.bit_count(c(x, f"parity.p{g}").bitwiseXOR(c(y, f"parity.p{g}"))) for g in range(4)]
+    return out & ((odd[0] + odd[1] + odd[2] + odd[3]) * (100 + percent) <= total * (100 - percent))
 
 
 def _alike(x: Column, y: Column, percent: int) -> Column:
