@@ -159,7 +159,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("text is not null")
 
     def few(ids: list[int]) -> DataFrame:
-        return F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))  # at most 2 * rows rows
+        # at most 2 * rows rows; from Arrow, since a list would start another set of Python workers in each executor
+        return F.broadcast(spark.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64())})))
 
     sizes: dict[int, int] = {}
     for r in texts.join(few(sorted({r["doc_id"] for r in picks})), "doc_id").select("doc_id", F.length("text").alias("n")).collect():

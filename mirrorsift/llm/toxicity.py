@@ -43,6 +43,26 @@ def words_of(text: str | None) -> list[bytes]:
     return [w.strip(MARKS) or w for w in text.lower().encode("utf-8", "surrogatepass").split()] if text else []
 
 
+class _Codes(dict):
+    """A number for each distinct word, in the order of first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of all texts, one after another, as numbers of distinct ones; each text's count; the distinct ones.
+
+    One text's words are held at a time.
+    """
+    index, codes = _Codes(), []
+    for text in texts:
+        own = words_of(text)
+        codes.append(np.fromiter(map(index.__getitem__, own), np.int64, len(own)))
+    return np.concatenate([*codes, np.zeros(0, np.int64)]), np.array([len(c) for c in codes], np.int64), list(index)
+
+
 def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the hashed 2-, 3- and 4-byte windows of each word between boundary marks, and each word's end in them."""
     marked = [b"\x01" + w + b"\x02" for w in words]
@@ -109,23 +129,37 @@ def _inputs(p: dict, word_row: np.ndarray, rows: np.ndarray, ends: np.ndarray) -
     return out
 
 
-def _direction(x: np.ndarray, there: np.ndarray, u: np.ndarray, back: bool, store: list | None) -> np.ndarray:
-    """Hidden states (time, window, HIDDEN); x has the projected inputs by time."""
-    steps, n = x.shape[:2]
+def _inputs_of(p: dict, names: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
+    """Input vectors of distinct words, some of them at a time: their n-grams take far more memory than the vectors."""
+    parts = [names[at : at + 2_000] for at in range(0, len(names), 2_000)]
+    return np.concatenate([_inputs(p, _rows_of(part, vocabulary), *char_grams(part)) for part in parts])
+
+
+class _Steps:
+    """The inputs by time, as x[ids] would have them, but made for one step when it is asked for."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        self.x, self.ids = x, ids
+
+    def __getitem__(self, t: int) -> np.ndarray:
+        return self.x[self.ids[t]]
+
+
+def _direction(x: np.ndarray | _Steps, there: np.ndarray, u: np.ndarray, back: bool, store: list | None, out: np.ndarray) -> None:
+    """Hidden states into out (time, window, HIDDEN); x has the projected inputs by time."""
+    steps, n = there.shape
     h = np.zeros((n, HIDDEN), np.float32)
-    out = np.empty((steps, n, HIDDEN), np.float32)
     for t in range(steps - 1, -1, -1) if back else range(steps):
-        g = h @ u
-        zr = _sigmoid(x[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
+        g, own = h @ u, x[t]
+        zr = _sigmoid(own[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        c = np.tanh(x[t, :, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+        c = np.tanh(own[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
         now = c + z * (h - c)
         m = there[t][:, None]
         if store is not None:
             store.append((t, h, z, r, c, g[:, 2 * HIDDEN :], m))
         h = np.where(m, now, h)
         out[t] = h
-    return out
 
 
 def _direction_back(d_out: np.ndarray, store: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,16 +179,25 @@ def _direction_back(d_out: np.ndarray, store: list, u: np.ndarray) -> tuple[np.n
     return d_x, d_u
 
 
-def _logits(p: dict, xf: np.ndarray, xb: np.ndarray, there: np.ndarray, store: dict | None = None) -> np.ndarray:
+def _logits(p: dict, xf: np.ndarray | _Steps, xb: np.ndarray | _Steps, there: np.ndarray, store: dict | None = None) -> np.ndarray:
+    """A logit for each window; only the hidden states are held for all steps at once, and what store asks for."""
     sf, sb = ([], []) if store is not None else (None, None)
-    h = np.concatenate([_direction(xf, there, p["uf"], False, sf), _direction(xb, there, p["ub"], True, sb)], 2)
-    a = np.tanh(h @ p["att"] + p["att_b"])
-    e = np.where(there, a @ p["att_v"], -30)
+    h = np.empty((*there.shape, 2 * HIDDEN), np.float32)
+    _direction(xf, there, p["uf"], False, sf, h[:, :, :HIDDEN])
+    _direction(xb, there, p["ub"], True, sb, h[:, :, HIDDEN:])
+    e, each = np.empty(there.shape, np.float32), []
+    for t in range(len(there)):
+        a = np.tanh(h[t] @ p["att"] + p["att_b"])
+        e[t] = np.where(there[t], a @ p["att_v"], -30)
+        if store is not None:
+            each.append(a)
     e = np.exp(e - e.max(0))
     alpha = e / e.sum(0)
-    c = (alpha[:, :, None] * h).sum(0)
+    c = np.zeros(h.shape[1:], np.float32)
+    for t in range(len(there)):
+        c += alpha[t][:, None] * h[t]
     if store is not None:
-        store.update(h=h, a=a, alpha=alpha, c=c, sf=sf, sb=sb)
+        store.update(h=h, a=np.stack(each), alpha=alpha, c=c, sf=sf, sb=sb)
     return c @ p["out"] + p["out_b"][0]
 
 
@@ -219,7 +262,7 @@ def window_logits(p: dict, x: np.ndarray, ids: np.ndarray, begin: np.ndarray, le
     out = np.empty(len(begin), np.float32)
     for at in range(0, len(begin), 4096):
         own, there = _gather(begin[at : at + 4096], length[at : at + 4096], ids)
-        out[at : at + 4096] = _logits(p, xf[own], xb[own], there)
+        out[at : at + 4096] = _logits(p, _Steps(xf, own), _Steps(xb, own), there)
     return out
 
 
@@ -242,13 +285,12 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> dict:
         rate = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.05
         return {"p": None, "vocabulary": {}, "slope": 0.0, "offset": float(np.log(rate / (1 - rate)))}
     rng = np.random.default_rng(seed)
-    own = [words_of(t) for t in texts]
-    counts = np.array([len(w) for w in own], np.int64)
-    codes, names = pd.factorize(np.array([w for ws in own for w in ws] or [b""], dtype=object))
-    names = list(names)
+    codes, counts, names = coded(texts)
+    if not names:
+        codes, names = np.zeros(1, np.int64), [b""]
     owner = np.repeat(np.arange(len(texts)), counts)
-    pair = np.unique(codes[: len(owner)].astype(np.int64) * len(texts) + owner) // len(texts)
-    spread = np.bincount(pair, minlength=len(names))
+    spread = np.bincount(np.unique(codes[: len(owner)] * len(texts) + owner) // len(texts), minlength=len(names))
+    del owner
     frequent = [int(k) for k in np.argsort(-spread, kind="stable")[:WORD_ROWS] if spread[k] >= WORD_TEXTS]
     vocabulary = {names[k]: r + 1 for r, k in enumerate(frequent)}
     words = (_rows_of(names, vocabulary), *char_grams(names))
@@ -312,13 +354,9 @@ def score_texts(texts: list[str | None], model: dict) -> np.ndarray:
     if model["p"] is None:
         high = np.zeros(len(texts))
     else:
-        own = [words_of(t) for t in texts]
-        counts = np.array([len(w) for w in own], np.int64)
-        flat = [w for ws in own for w in ws]
-        if flat:
-            codes, names = pd.factorize(np.array(flat, dtype=object))
-            names = list(names)
-            x = _inputs(model["p"], _rows_of(names, model["vocabulary"]), *char_grams(names))
+        codes, counts, names = coded(texts)
+        if names:
+            x = _inputs_of(model["p"], names, model["vocabulary"])
             begin, length, text = windows(counts)
             high = _highest(window_logits(model["p"], x, codes, begin, length), text, len(texts))
         else:
@@ -340,8 +378,9 @@ def learned(rule_column: str = "doc_id"):
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    texts, y = labelled_sample(docs, labels, "toxic", fit_rows, FIT_CHARS, learned())
-    return fit(texts, y)
+    model = fit(*labelled_sample(docs, labels, "toxic", fit_rows, FIT_CHARS, learned()))
+    give_back()
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:

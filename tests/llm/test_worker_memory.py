@@ -6,7 +6,9 @@ import sys
 import tracemalloc
 
 import numpy as np
+import pytest
 from mirrorsift.llm import toxicity
+from mirrorsift.llm.quality_rules import labelled_sample
 
 HEAD = """
 import json, re, sys, types
@@ -53,3 +55,25 @@ def test_inputs_take_little_at_once():
 def test_a_waiting_worker_is_small():
     held, kept, left = told(LEFT)
     assert held < 60 and kept and not left
+
+
+def test_scoring_takes_little_at_once():
+    rng = np.random.default_rng(1)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghij"), (20_000, 7))])
+    texts = [" ".join(words[rng.integers(0, 20_000, 600)]) for _ in range(200)]  # about 1 MB
+    model = {"p": toxicity._new(3, rng), "vocabulary": {words[k].encode(): k + 1 for k in range(3)}, "slope": 1.0, "offset": 0.0}
+    each = np.array([toxicity.score_texts([t], model)[0] for t in texts[:20]])
+    tracemalloc.start()
+    got = toxicity.score_texts(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got[:20], each, atol=1e-5) and got.std() > 0
+    assert peak < 25e6, peak
+
+
+def test_labelled_sample_starts_no_python_workers(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_, **__: pytest.fail("rows go through Python workers"))
+    texts, y = labelled_sample(docs, labels, "toxic", 5, 1000)
+    assert sorted(y.tolist()) == [0] * 5 + [1] * 5 and all(int(t.split()[1]) % 2 == v for t, v in zip(texts, y, strict=True))
