@@ -35,7 +35,7 @@ DEPTH = 3
 HOT_FROM, MOST_HOT = 1000, 10_000
 #: Classes of a token from which on it is crowded, and classes of a block.
 CROWDED_FROM, BLOCK = 64, 1024
-#: Lines asked for up to which their numbers are sent to all executors (about 60 bytes each) rather than texts shuffled.
+#: Lines asked for, or removed, up to which their numbers are sent to all executors (about 60 bytes each) rather than texts shuffled.
 BROADCAST_ROWS = 500_000
 
 #: A token: leading bits of its first word's key, by which it is ordered, and 40 bits of the hash of all its words.
@@ -243,12 +243,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Null and empty texts stay as they are; a text that loses all its lines is empty. An empty table stays empty.
     """
-    key, digest, gone = free_names(docs, "_id", "_dh", "_removed")
+    key, digest, gone, every = free_names(docs, "_id", "_dh", "_removed", "_lines")
     found = removed_lines(docs, percent).select(F.col("doc_id").alias(key), F.col("dh").alias(digest), F.col("removed").alias(gone))
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    out = joined.withColumn("text", F.when(F.col(gone).isNotNull(), F.array_join(F.transform(kept, lambda i: lines[i]), "\n")).otherwise(F.col("text")))
+    # texts stay where they are if the numbers can come to them
+    numbers = found.agg(F.sum(F.size(gone))).first()[0] or 0
+    side = F.broadcast(found) if numbers <= BROADCAST_ROWS else found
+    joined = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)), "left")
+    # a column of its own: within the function below the text would be split again for each line
+    joined = joined.withColumn(every, F.when(F.col(gone).isNotNull(), F.split("text", "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone)
+    out = joined.withColumn("text", F.when(F.col(gone).isNotNull(), F.array_join(F.transform(kept, lambda i: F.col(every)[i]), "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from mirrorsift.llm import line_dedup
 from mirrorsift.llm.line_dedup import dedup_lines, line_report, removed_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,3 +91,35 @@ def test_odd_rows(odd, none):
     assert clean.columns == odd.columns and clean.count() == odd.count()
     assert {r["doc_id"]: r["n_chars"] for r in clean.collect()}[6] == 0
     assert line_report(none).count() == 0 and dedup_lines(none).count() == 0
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_removed_lines_leave_texts_in_place(spark, monkeypatch, tmp_path):
+    rows = [(i, f"same line\nown {i}\nsame line\nlast {i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = {i: f"own {i}\nlast {i}" for i in range(1, 40)} | {0: "same line\nown 0\nlast 0"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dedup_lines(docs)
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+        assert "hashpartitioning" not in _plan(out)
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 3)
+        out = dedup_lines(docs)
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+        assert "hashpartitioning" in _plan(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_text_is_split_once(spark):
+    docs = spark.createDataFrame([(1, "a\nb\na\nc")], "doc_id long, text string")
+    out = dedup_lines(docs)
+    assert [r["text"] for r in out.collect()] == ["a\nb\nc"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and not any("lambdafunction(split(" in x or "split(text" in x.split("lambdafunction(", 1)[1] for x in plan.split("\n") if "lambdafunction(" in x)

@@ -28,3 +28,17 @@ def test_stages_on_odd_rows(spark, odd, none, labels, tmp_path):
 
 def test_every_operator_is_registered():
     assert {int(k[2:].split("_")[0]) for k in queries.queries()} == set(range(1, 11))
+
+
+def test_few_near_duplicates_leave_texts_in_place(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i // 2} has few words of {i // 2}") for i in range(40)], "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, kind in ((100, "BroadcastHashJoin"), (3, "SortMergeJoin")):
+            monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", most, raising=False)
+            out = corpus_pipeline.one_of_each_group(spark, docs, "")
+            assert sorted(r["doc_id"] for r in out.collect()) == list(range(0, 40, 2))
+            assert kind in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
